@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, sharding, simhash, warc
+from . import chat, packing, secrets, sharding, simhash, url_filter, warc
 
 QUERIES = {
     "op3_warc_revisits": warc.op3_warc_revisits,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_pack_pow2": packing.op5_pack_pow2,
+    "op6_url_reputation": url_filter.op6_url_reputation,
     "op7_chat_format": chat.op7_chat_format,
     "op8_simhash": simhash.op8_simhash,
     "op10_interleave": sharding.op10_interleave,
