@@ -175,10 +175,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     base = [r.kind for r in BASE]
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    own = F.filter("spans", lambda x: x["kind"].isin(base))
+    of = lambda kinds: F.filter("spans", lambda x: x["kind"].isin(kinds))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda x, kind=k: x["kind"] == kind)).cast("long").alias(f"n_{k}") for k in base),
-        F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"),
+        *(F.size(of([k])).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(joined(of(base)).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
