@@ -38,7 +38,7 @@ RULES = (
 #: Suffixes of two labels under which names are registered; others have one label. A parameter, not a full list.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br")
 #: Bad share that the posterior's lower bound must exceed for a block, and standard deviations from mean to bound.
-LIMIT, Z = 0.2, 1.645
+LIMIT, Z = 0.5, 1.645
 
 
 def host_of(url: Column) -> Column:
