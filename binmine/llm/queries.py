@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, packing, secrets, sharding, simhash, url_filter, warc
+from . import chat, decontaminate, packing, secrets, sharding, simhash, toxicity, url_filter, vector_join, warc
 
 QUERIES = {
+    "op1_latent_leaks": decontaminate.op1_latent_leaks,
+    "op2_grid_order": vector_join.op2_grid_order,
     "op3_warc_revisits": warc.op3_warc_revisits,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_pack_pow2": packing.op5_pack_pow2,
     "op6_url_reputation": url_filter.op6_url_reputation,
     "op7_chat_format": chat.op7_chat_format,
     "op8_simhash": simhash.op8_simhash,
+    "op9_toxic_segments": toxicity.op9_toxic_segments,
     "op10_interleave": sharding.op10_interleave,
 }
 

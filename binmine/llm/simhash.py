@@ -177,6 +177,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return fps.join(of_fp, "fp")
 
 
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component, that whose doc_id names it; all columns are kept.
+
+    Of rows with that same doc_id one is kept. Rows with a null doc_id cannot be named and are kept all.
+    """
+    kept, _ = written(near_duplicates(docs, radius=radius).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, three bits."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
