@@ -1 +1 @@
-"""Part of binmine."""
+"""Column expressions and small kernels."""

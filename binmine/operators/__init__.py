@@ -1 +1 @@
-"""Part of binmine."""
+"""Clustering, blocking, evaluation, simulation and tuning."""

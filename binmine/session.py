@@ -16,3 +16,13 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
     return spark
+
+
+def checkpointed(df):
+    """df as a reliable checkpoint in spark.checkpoint.dir (a temporary folder, where the session has none, as in tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="binmine-"))
+    return df.checkpoint()

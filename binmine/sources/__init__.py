@@ -1 +1 @@
-"""Part of binmine."""
+"""Where observations come from."""

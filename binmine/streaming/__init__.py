@@ -1 +1 @@
-"""Part of binmine."""
+"""Streams of observations."""
