@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 MAX_LENGTH, END_ID = 4096, 2
-#: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Distinct words, and distinct runs without white space, that a worker remembers; what comes later is encoded each time.
+WORDS_KEPT, RUNS_KEPT = 300_000, 500_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
@@ -53,23 +53,49 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.safe = regex.compile(self.PATTERN).findall, regex.compile(self.SAFE).fullmatch
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.runs: dict[str, bytes] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> Words:
+        """One for each worker process, whose memory of words lasts from task to task."""
+        kept = cls.__dict__.get("_shared") or {}
+        if path not in kept:
+            kept[path] = cls(path)
+            cls._shared = kept
+        return kept[path]
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pretokens, encoded as one text of which each is a word."""
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
+        if len(of) and of[-1] == len(words) - 1:
+            return [x.tobytes() for x in np.split(ids, np.flatnonzero(of[1:] != of[:-1]) + 1)]
+        return [self._encode(w).tobytes() for w in words]
 
     def ids(self, text: str) -> bytes:
         if "<|" in text or not self.safe(text):
-            return self._encode([text])[0]
-        words = self.words(text.lower())
+            return self._encode(text).tobytes()
+        runs, known = text.lower().split(), self.runs
         try:
-            return b"".join([self.known[w] for w in words])
+            return b"".join([known[r] for r in runs])
         except KeyError:
             pass
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        self.known.update(zip(new, self._encode(new), strict=True))
-        return b"".join([self.known[w] for w in words])
+        cut = {r: self.words(r) for r in dict.fromkeys(runs) if r not in known}
+        new = [w for w in dict.fromkeys(w for ws in cut.values() for w in ws) if w not in self.known]
+        fresh = dict(zip(new, self._encode_words(new), strict=True)) if new else {}
+        if len(self.known) < WORDS_KEPT:
+            self.known.update(fresh)
+            fresh = self.known
+        else:
+            fresh = {w: fresh[w] if w in fresh else self.known[w] for ws in cut.values() for w in ws}
+        now = {r: b"".join([fresh[w] for w in ws]) for r, ws in cut.items()}
+        if len(known) < RUNS_KEPT:
+            known.update(now)
+            return b"".join([known[r] for r in runs])
+        return b"".join([now[r] if r in now else known[r] for r in runs])
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = MAX_LENGTH, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = MAX_LENGTH, end_id: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = Words(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, end = Words.shared(tokenizer), np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
         for b in batches:
             rows: list[tuple] = []
