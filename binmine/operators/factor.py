@@ -111,14 +111,19 @@ def first_blocks(obs: DataFrame, k: int, c: int) -> tuple[DataFrame, DataFrame]:
     return labels, cols
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A table of a few rows (blocks, or one for each column) without its lineage, so that plans do not grow by rounds."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def block_model(obs: DataFrame, k: int, c: int, rounds: int = 20, variant: str = "full") -> tuple[DataFrame, DataFrame]:
     """Row labels (id, cluster) and column labels (j, colcluster); steps alternate while the objective falls."""
     labels, cols = first_blocks(obs, k, c)
-    means, last = block_means(obs, labels, cols).persist(), None
+    means, last = _small(block_means(obs, labels, cols)), None
     for _ in range(rounds):
-        new = block_rows(obs, cols, means, variant).persist()
-        new_cols = block_columns(obs, new, means).persist()
-        new_means = block_means(obs, new, new_cols).persist()
+        new = block_rows(obs, cols, means, variant)
+        new_cols = _small(block_columns(obs, new, means))
+        new_means = _small(block_means(obs, new, new_cols))
         now = block_objective(obs, new, new_cols, new_means).first().objective
         if last is not None and now >= last - 1e-12:
             break

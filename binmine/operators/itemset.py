@@ -252,6 +252,14 @@ def scale_assign(rows: pd.DataFrame, occ: np.ndarray, n: np.ndarray, total: int)
     return np.array(label)
 
 
+def _placing(occ: np.ndarray, n: np.ndarray, total: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("h")
+        return pd.DataFrame({"id": pdf["id"], "cluster": scale_assign(pdf, occ, n, total) + 1})
+
+    return run
+
+
 def scale(obs: DataFrame, k: int, sample: int = 100, chunks: int = 2, chunk_rows: int = 500, max_iteration: int = 2, max_moved: int = 0, seed: int = 1) -> DataFrame:
     """id, cluster. A sample is clustered around medoids, then shuffled rows come in micro-batches of chunks * chunk_rows.
 
@@ -285,13 +293,7 @@ def scale(obs: DataFrame, k: int, sample: int = 100, chunks: int = 2, chunk_rows
             if step:
                 o, m = feature_sums(placed[b])
                 occ, n = occ - o, n - m
-            state = occ.copy(), n.copy()
-
-            def run(pdf: pd.DataFrame, state=state) -> pd.DataFrame:
-                pdf = pdf.sort_values("h")
-                return pd.DataFrame({"id": pdf["id"], "cluster": scale_assign(pdf, *state, total) + 1})
-
-            new = rows.where(F.col("batch") == b).groupBy("chunk").applyInPandas(run, "id long, cluster int").persist()
+            new = rows.where(F.col("batch") == b).groupBy("chunk").applyInPandas(_placing(occ.copy(), n.copy(), total), "id long, cluster int").persist()
             o, m = feature_sums(new)
             occ, n = occ + o, n + m
             if step:
