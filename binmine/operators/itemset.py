@@ -137,7 +137,7 @@ def _profit(s, n, w, r):
 def _clope_place(c: _Clusters, occ: np.ndarray, n: int, r: float, most: int, alive: np.ndarray | None = None) -> int:
     s, w = c.occ.sum(1), (c.occ > 0).sum(1)
     gain = _profit(s + occ.sum(), c.n + n, ((c.occ + occ) > 0).sum(1), r) - _profit(s, c.n, w, r)
-    live = c.n > 0
+    live = (c.n > 0) & (s > 0)  # the cluster of rows without items takes no others
     gain = np.where(live, gain, -np.inf)
     alone = float(_profit(occ.sum(), n, (occ > 0).sum(), r))
     best = int(gain.argmax()) if live.any() else -1
@@ -164,7 +164,7 @@ def _large_costs(occ: np.ndarray, n: np.ndarray, x: np.ndarray, xn: int, minsup:
 
 
 def _largeitem_place(c: _Clusters, x: np.ndarray, xn: int, minsup: float, w: float, variant: str, new: bool = True) -> int:
-    live = np.flatnonzero(c.n > 0)
+    live = np.flatnonzero((c.n > 0) & (c.occ.sum(1) > 0))
     if not len(live):
         return -1
     joins, alone = _large_costs(c.occ[live], c.n[live], x, xn, minsup, w, variant)
