@@ -154,4 +154,4 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, whose texts hold the template's control strings."""
     own = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
-    return read_back(format_segments(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)))
+    return read_back(format_segments(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))).drop("order_error")

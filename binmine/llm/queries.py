@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import chat, decontaminate, packing, secrets, sharding, simhash, toxicity, url_filter, vector_join, warc
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     "op1_latent_leaks": decontaminate.op1_latent_leaks,
@@ -17,4 +20,3 @@ QUERIES = {
     "op10_interleave": sharding.op10_interleave,
 }
 
-ORACLE_SQL: dict[str, str] = {}
