@@ -37,10 +37,10 @@ def _joined_width(sup: DataFrame, extra: DataFrame, *keys: str) -> DataFrame:
 
 
 def clope_delta_add(obs_long: DataFrame, labels: DataFrame, rows_long: DataFrame, r: float) -> DataFrame:
-    """id, cluster, delta: the profit's gain S'N'/W'**r - S N/W**r if a row of rows_long (few) joined a cluster."""
+    """id, cluster, delta: the profit's gain S'N'/W'**r - S N/W**r if a row of rows_long joined a cluster (clusters are few)."""
     f = features(obs_long, labels)
     x = rows_long.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    both = f.crossJoin(F.broadcast(x)).join(_joined_width(supports(obs_long, labels), rows_long, "id"), ["id", "cluster"], "left").na.fill(0, ["common"])
+    both = x.crossJoin(F.broadcast(f)).join(_joined_width(supports(obs_long, labels), rows_long, "id"), ["id", "cluster"], "left").na.fill(0, ["common"])
     return both.select("id", "cluster", F.expr(f"(s + size) * (n + 1) / power(w + size - common, {float(r)}D) - if(w > 0, s * n / power(w, {float(r)}D), 0D)").alias("delta"))
 
 
@@ -97,18 +97,53 @@ def largeitem_costs(obs_long: DataFrame, labels: DataFrame, added: DataFrame, mi
     return _cost(every, w, variant, "id", "target")
 
 
+def largeitem_row_costs(obs_long: DataFrame, labels: DataFrame, rows_long: DataFrame, minsupport: float, w: float, variant: str = "reference") -> DataFrame:
+    """id, target, cost of adding each row of rows_long to each cluster, and alone (target 0); 0 < minsupport <= 1.
+
+    For a given target an item adds to the cost by itself, so the cost is the target's own (with one more row) plus a
+    correction for each of the row's items: rows meet a small table of corrections, and no pair of row and cluster
+    looks at other clusters' items.
+    """
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    k = sizes.count()
+    times = {"reference": (max(k - 1, 0), k), "paper": (min(k - 1, 1), min(k, 1))}[variant]
+    sup = supports(obs_long, labels)
+    items = sup.select("j").union(rows_long.select("j")).distinct()
+    grid = sizes.crossJoin(F.broadcast(items)).join(sup, ["cluster", "j"], "left").na.fill(0, ["occ"])  # clusters x items
+    grid = grid.withColumn("lg", F.col("occ") >= F.col("n") * minsupport).withColumn("sm", (F.col("occ") > 0) & ~F.col("lg"))
+    by_item = Window.partitionBy("j")
+    grid = grid.withColumn("ls", F.count_if("lg").over(by_item)).withColumn("ss", F.count_if("sm").over(by_item))
+
+    def part(large: str, small: str, other_large: str, other_small: str, t: int, inter: bool) -> str:
+        add = f"if({large}, {t}, 0) - if({other_large} or {large}, 1, 0)" if inter else "0"
+        return f"({float(w)}D * if({other_small} or {small}, 1, 0) + {add})"
+
+    own = "ls - if(lg, 1, 0) > 0", "ss - if(sm, 1, 0) > 0"
+    without = part(f"(occ >= (n + 1) * {minsupport})", f"(occ > 0 and occ < (n + 1) * {minsupport})", *own, times[0], k > 1)
+    with_it = part(f"(occ + 1 >= (n + 1) * {minsupport})", f"(occ + 1 < (n + 1) * {minsupport})", *own, times[0], k > 1)
+    alone0, alone1 = part("false", "false", "ls > 0", "ss > 0", 0, True), part("true", "false", "ls > 0", "ss > 0", times[1], True)
+    nl = grid.groupBy("cluster").agg(F.count_if("lg").alias("nl"))
+    total = nl.agg(F.sum("nl")).first()[0] or 0
+    base = grid.groupBy(F.col("cluster").alias("target")).agg(F.expr(f"sum({without})").alias("base")).join(nl.withColumnRenamed("cluster", "target"), "target").select("target", (F.col("base") + (F.lit(total) - F.col("nl") if k > 1 else F.lit(0))).alias("base"))
+    one = grid.select("j", "ls", "ss").distinct()
+    kind = dict(labels.dtypes)["cluster"]
+    base = base.unionByName(one.agg((F.expr(f"coalesce(sum({alone0}), 0D)") + total).alias("base")).select(F.lit(0).cast(kind).alias("target"), "base"))
+    fix = grid.select(F.col("cluster").alias("target"), "j", F.expr(f"{with_it} - {without}").alias("fix")).unionByName(one.select(F.lit(0).cast(kind).alias("target"), "j", F.expr(f"{alone1} - {alone0}").alias("fix")))
+    return rows_long.join(F.broadcast(fix), "j").groupBy("id", "target").agg(F.sum("fix").alias("fix")).join(F.broadcast(base), "target").select("id", "target", (F.col("base") + F.col("fix")).alias("cost"))
+
+
 def scale_wcd(obs_long: DataFrame, labels: DataFrame) -> DataFrame:
     """cluster, n, s, wcd: sum of squared supports over S N."""
     return features(obs_long, labels).select("cluster", "n", "s", F.expr("try_divide(occ2, s * n)").alias("wcd"))
 
 
 def scale_ewcd_add(obs_long: DataFrame, labels: DataFrame, rows_long: DataFrame, total: int) -> DataFrame:
-    """id, cluster, ewcd: the expected weighted coverage density if a row of rows_long (few) joined a cluster."""
+    """id, cluster, ewcd: the expected weighted coverage density if a row of rows_long joined a cluster."""
     f = features(obs_long, labels).withColumn("part", F.expr("coalesce(try_divide(occ2, s), 0D)"))
     x = rows_long.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
     hit = rows_long.join(supports(obs_long, labels), "j").groupBy("id", "cluster").agg(F.sum("occ").alias("hits"))
     whole = F.broadcast(f.agg(F.sum("part").alias("whole")))
-    both = f.crossJoin(F.broadcast(x)).crossJoin(whole).join(hit, ["id", "cluster"], "left").na.fill(0, ["hits"])
+    both = x.crossJoin(F.broadcast(f)).crossJoin(whole).join(hit, ["id", "cluster"], "left").na.fill(0, ["hits"])
     return both.select("id", "cluster", F.expr(f"(whole - part + (occ2 + 2 * hits + size) / (s + size)) / {total}").alias("ewcd"))
 
 

@@ -227,7 +227,7 @@ def clope_features(s, d):
 @query
 def clope_delta_add(s, d):
     b, lab = _basket_labels(s, d)
-    return _rounded(itemset.clope_delta_add(b, lab, _probes(b), 2.0), "delta")
+    return _rounded(itemset.clope_delta_add(b, lab, b, 2.0), "delta")
 
 
 @query
@@ -242,8 +242,7 @@ def clope_profit(s, d):
 
 def _row_costs(s, d):
     b, lab = _basket_labels(s, d)
-    one = F.lit(1).cast("long")
-    return itemset.largeitem_costs(b, lab, _probes(b).select("id", "j", one.alias("occ"), one.alias("n")), sql.MINSUP, 1.0)
+    return itemset.largeitem_row_costs(b, lab, b, sql.MINSUP, 1.0)
 
 
 def _feature_costs(s, d):
@@ -286,7 +285,7 @@ def scale_wcd(s, d):
 @query
 def scale_ewcd_add(s, d):
     b, lab = _basket_labels(s, d)
-    return _rounded(itemset.scale_ewcd_add(b, lab, _probes(b), lab.count()), "ewcd")
+    return _rounded(itemset.scale_ewcd_add(b, lab, b, lab.count()), "ewcd")
 
 
 @query

@@ -17,7 +17,7 @@ BASKETS = (
     "sup as (select cluster, j, count(*)::bigint as occ from bk join lb using (id) group by all), "
     "sz as (select cluster, count(*)::bigint as n from lb group by all), "
     "ft as (select cluster, n, sum(occ)::bigint as s, count(*)::bigint as w, sum(occ * occ)::bigint as occ2 from sup join sz using (cluster) group by all), "
-    "px as (select id, j from bk where id % 20 = 0), ps as (select id, count(*)::bigint as size from px group by all)"
+    "px as (select id, j from bk), ps as (select id, count(*)::bigint as size from px group by all)"
 )
 SHINGLES = (
     "words as (select distinct doc_id as id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) as w from documents), "

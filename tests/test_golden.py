@@ -156,6 +156,8 @@ def test_largeitem_kernel_agrees_with_the_frame(spark):
         occ, n = np.array([x[lab == c].sum(0) for c in (1, 2, 3)]), np.array([(lab == c).sum() for c in (1, 2, 3)])
         joins, alone = itemset._large_costs(occ, n, row, 1, 0.5, 1.0, variant)
         assert [got[1], got[2], got[3], got[0]] == pytest.approx([*joins, alone])
+        rows = {r.target: r.cost for r in itemset.largeitem_row_costs(long, labels, added.select("id", "j"), 0.5, 1.0, variant).collect()}
+        assert rows == pytest.approx(got)
 
 
 def test_scale_density(spark):
