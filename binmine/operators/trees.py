@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from binmine.functions.bits import chunked, seeded
 from binmine.functions.kernels import kmeans
 from binmine.operators import merge
+from binmine.session import checkpointed
 
 
 def item_support(obs: DataFrame, *by: str) -> DataFrame:
@@ -25,19 +26,20 @@ def balanced_variables(obs: DataFrame, *by: str) -> DataFrame:
 def mbt_partitions(obs: DataFrame, threshold: int, chunk: str | None = None, depth: int = 32) -> DataFrame:
     """id, v, (chunk,) part: the bits taken on the way down. Parts over threshold are split, and all are at first, twice.
 
-    A part whose best bit is constant is final. Only the small table of chosen bits is broadcast.
+    A part whose best bit is constant is final. The table of chosen bits grows with rows / threshold, so how it is joined is
+    left to the optimiser.
     """
     by = [chunk] if chunk else []
     now = obs.select("id", *by, "v", F.lit("").alias("part"), F.lit(True).alias("open"))
     for level in range(depth):
         pick = balanced_variables(now.where("open"), *by, "part").withColumn("split", F.col("off") < F.col("n")).where(F.col("split") & ((F.col("n") > threshold) | F.lit(level < 2)))
-        chosen = pick.select(*by, "part", "j").persist()
+        chosen = checkpointed(pick.select(*by, "part", "j"))
         if chosen.isEmpty():
             break
         bit = F.get("v", F.col("j") - 1).cast("string")
-        now = now.join(F.broadcast(chosen), [*by, "part"], "left").select("id", *by, "v", F.when(F.col("j").isNotNull(), F.concat("part", bit)).otherwise(F.col("part")).alias("part"), F.col("j").isNotNull().alias("open"))
+        now = now.join(chosen, [*by, "part"], "left").select("id", *by, "v", F.when(F.col("j").isNotNull(), F.concat("part", bit)).otherwise(F.col("part")).alias("part"), F.col("j").isNotNull().alias("open"))
         if level % 4 == 3:
-            now = now.persist()
+            now = checkpointed(now)
     return now.drop("open")
 
 
@@ -103,14 +105,18 @@ def information_gain(obs: DataFrame, *by: str) -> DataFrame:
 
 def mona_splits(obs: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their node after `levels` splits (heap numbers; 2i takes bit 0), and the splits node, j."""
-    now = obs.select("id", "v", F.lit(1).cast("long").alias("node"), F.array().cast("array<int>").alias("used"))
-    splits = None
+    spark = obs.sparkSession
+    now = obs.select("id", "v", F.lit(1).cast("long").alias("node"))
+    splits, used = [], {1: []}
     for _ in range(levels):
-        gain = information_gain(now, "node").join(now.groupBy("node").agg(F.first("used").alias("used")), "node").where(~F.array_contains("used", F.col("j")))
-        best = gain.groupBy("node").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "j")).alias("m")).select("node", F.col("m.j").cast("int").alias("j")).persist()
-        splits = best if splits is None else splits.unionByName(best)
-        now = now.join(F.broadcast(best), "node").select("id", "v", (F.col("node") * 2 + F.get("v", F.col("j") - 1)).alias("node"), F.array_append("used", F.col("j")).alias("used")).persist()
-    return now.select("id", "v", "node"), splits
+        taken = spark.createDataFrame([(n, j) for n, js in used.items() for j in js], "node long, j int")
+        gain = information_gain(now, "node").join(F.broadcast(taken), ["node", "j"], "left_anti")
+        best = gain.groupBy("node").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "j")).alias("m")).select("node", F.col("m.j").cast("int").alias("j")).collect()  # 2**level rows
+        splits += [tuple(r) for r in best]
+        used = {2 * r.node + side: [*used[r.node], r.j] for r in best for side in (0, 1)}
+        small = spark.createDataFrame([tuple(r) for r in best], "node long, j int")
+        now = now.join(F.broadcast(small), "node").select("id", "v", (F.col("node") * 2 + F.get("v", F.col("j") - 1)).alias("node"))
+    return now, spark.createDataFrame(splits, "node long, j int")
 
 
 def mona(obs: DataFrame, n_splits: int) -> DataFrame:

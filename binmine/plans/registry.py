@@ -10,7 +10,6 @@ from binmine.operators import bubble, factor, itemset, kmedoids, leader, metrics
 from binmine.plans import sql
 from binmine.sources import tables
 
-Query = "Callable[[SparkSession, str], DataFrame]"
 QUERIES: dict = {}
 ORACLE_SQL = sql.ORACLE_SQL
 
