@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,37 @@ def discard(spark: SparkSession, *paths: str) -> None:
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Bytes and rows of a batch of texts on its way to Python, so that very long texts do not pile up. A session's own setting stays.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session batches to Python are from now on bounded, unless the session has set them itself."""
+    conf = df.sparkSession.conf
+    for key, value in BATCHES.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df
+
+
+def _settle() -> None:
+    """Give memory that a finished task has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow with bounded batches, after each task of which freed memory goes back."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _settle()
+
+    return bounded_batches(df).mapInArrow(tidy, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 WORDS = re.compile(r"\w+").findall
 
@@ -84,7 +84,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["term", "n"])
 
     out, rows = np.zeros(len(terms), np.int64), 0
-    for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in map_texts(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r.term < 0:
             rows = r.n
         else:
@@ -263,7 +263,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
                 kinds = [pa.int64()] * 4 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+        found = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, FOUND)
         out = out.unionByName(found)
     return out
 
@@ -278,7 +278,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(
             for b in batches:
                 yield b.filter(pa.array([not m.matches(t.as_py() or "") for t in b.column(at)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_texts(out, run, docs.schema)
     return out
 
 

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 MAX_LENGTH, END_ID = 4096, 2
 #: Distinct words, and distinct runs without white space, that a worker remembers; what comes later is encoded each time.
-WORDS_KEPT, RUNS_KEPT = 300_000, 500_000
+WORDS_KEPT, RUNS_KEPT = 250_000, 300_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = MAX_LENGTH, end_id: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES).withColumn("sequence_id", F.monotonically_increasing_id())
+    return map_texts(rows, run, PIECES).withColumn("sequence_id", F.monotonically_increasing_id())
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import compile_patterns
-from .common import table
+from .common import map_texts, table
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, key: str = "do
             found = [[{"kind": rules[k].kind, "start": a, "end": e} for k, a, e in scanner.spans(t.as_py() or "")] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, SPANS)], ["doc_id", "spans"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCANNED)
+    return map_texts(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, SCANNED)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -167,7 +167,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text: str =
             cols[at] = pa.array([hide(t.as_py()) for t in b.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

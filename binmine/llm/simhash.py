@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_texts, table, written
 from .components import Forest, connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             fps = np.fromiter((fingerprint(t.as_py() or "", size, seed) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_texts(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def _words(bits: np.ndarray, words: int) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_texts, table, written
 
 #: Labelled rows that the fit takes at most, drawn by hash.
 FIT_ROWS = 100_000
@@ -176,8 +176,8 @@ def _training(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     folds = [Counts(), Counts()]
     for b in batches:
-        for text, toxic, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            folds[fold].add(text, toxic)
+        for text, toxic, fold in zip(*b.columns, strict=True):
+            folds[fold.as_py()].add(text.as_py(), toxic.as_py())
     for fold, c in enumerate(folds):
         for what, of in ((0, c.tokens), (1, c.prefixes)):
             for toxic in (0, 1):
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     """
     train = _training(docs, labels, fit_rows)
     parts = [np.zeros(TOKENS if p & 2 == 0 else PREFIXES) for p in range(8)]
-    for r in train.mapInArrow(_count, "part long, bucket long, n double").groupBy("part", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in map_texts(train, _count, "part long, bucket long, n double").groupBy("part", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         parts[r.part][r.bucket] = r.n
     tokens, prefixes = np.array([[parts[0], parts[1]], [parts[4], parts[5]]]), np.array([[parts[2], parts[3]], [parts[6], parts[7]]])
     if not tokens.sum():
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     halves = [Model.of(tokens[f], prefixes[f]) for f in (0, 1)]
     for m in halves:
         m.lam = model.lam
-    bins = train.mapInArrow(_half(halves), "toxic int, bin long").groupBy("toxic", "bin").count().collect()
+    bins = map_texts(train, _half(halves), "toxic int, bin long").groupBy("toxic", "bin").count().collect()
     x = np.array([LOW + BIN * (r.bin + 0.5) for r in bins])
     y, n = np.array([float(r.toxic) for r in bins]), np.array([float(r["count"]) for r in bins])
     clean = (y == 0) & (x > LOW + BIN)
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 passages.append([{"start": a, "end": e, "score": x} for a, e, x in found if x >= least])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([len(p) for p in passages], pa.int32()), pa.array(passages, PASSAGES)], ["doc_id", "score", "n_passages", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCORED)
 
 
 def without_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,7 +274,7 @@ def without_toxic(docs: DataFrame, model: Model | None, threshold: float = THRES
         for b in batches:
             yield b.filter(pa.array([model.probability(s.evidence(*s.segments(t.as_py() or ""))) < threshold for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
