@@ -42,7 +42,7 @@ class Settings:
     rank: int = 128
     extra: int = 16
     power: int = 2
-    cosine: float = 0.45
+    cosine: float = 0.7
     same: float = 0.8
     near: float = 0.6
     answer: float = 0.8
@@ -168,7 +168,7 @@ class Matcher:
         """(item_id, first word, word after the last, cosine, share in common, share of the answer), the best of each item."""
         words = WORDS(text.lower())
         best: dict[int, tuple] = {}
-        piece, lap = 8192, 2 * self.s.sizes[-1]
+        piece, lap = 4096, 2 * self.s.sizes[-1]
         for at in range(0, max(1, len(words)), piece):
             self._piece(words, at, min(len(words), at + piece + lap), best)
         return [best[k] for k in sorted(best)]
@@ -190,10 +190,10 @@ class Matcher:
                 continue
             starts, lo, hi = starts[keep], lo[keep], hi[keep]
             if sums is None:
-                sums = np.zeros((len(place) + 1, self.space.shape[1]))
+                sums = np.zeros((len(place) + 1, self.space.shape[1]), np.float32)
                 np.cumsum(self.space[ids], axis=0, out=sums[1:])
             for i in range(0, len(starts), 4096):
-                v = (sums[hi[i : i + 4096]] - sums[lo[i : i + 4096]]).astype(np.float32)
+                v = sums[hi[i : i + 4096]] - sums[lo[i : i + 4096]]
                 norm = np.linalg.norm(v, axis=1)
                 cos = v @ q / np.maximum(norm, 1e-6)[:, None]
                 rows, cols = np.nonzero(cos >= self.s.cosine)
@@ -206,10 +206,12 @@ class Matcher:
             return
         a, b = max(0, start - size // 4), start + size + size // 4
         region = words[a:b]
+        held = set(region)
+        if sum(map(held.__contains__, p.words)) < self.s.near * len(p.words):  # no common subsequence can be longer
+            return
         share = common_subsequence(p.words, region) / len(p.words)
         if share < self.s.near or p.item_id in best and best[p.item_id][4] >= share:
             return
-        held = set(region)
         answer = sum(w in held for w in self.answers[k]) / len(self.answers[k])
         if share >= (self.s.same if len(p.words) >= 8 else 1.0) or len(p.words) >= 8 and answer >= self.s.answer:
             best[p.item_id] = (p.item_id, a, min(b, len(words)), cos, share, answer)
