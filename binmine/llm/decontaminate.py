@@ -34,7 +34,9 @@ class Settings:
 
     cosine: candidates. same: share of a passage in a common subsequence that suffices; near and answer: shares
     that suffice together. mass: of a passage's weight, what a window must have to be compared at all. seldom: the answer
-    of an item that states none is this many of its rarest words. block: benchmark items taken at once.
+    of an item that states none is this many of its rarest words. light: passages whose words' weights are, in root mean
+    square, below those of a word in one of this many documents are not left to the latent space. block: benchmark items
+    taken at once.
     """
 
     passage: int = 128
@@ -48,6 +50,7 @@ class Settings:
     answer: float = 0.8
     mass: float = 0.4
     seldom: int = 5
+    light: float = 20.0
     block: int = 1000
     seed: int = 7
 
@@ -139,28 +142,32 @@ def common_subsequence(passage: list[str], words: list[str]) -> int:
 
 
 class Matcher:
-    """matches(text): the passages of one block of the benchmark that a text holds."""
+    """matches(text): the passages of one block of the benchmark that a text holds.
+
+    Words next to a light passage outweigh it in any window, so light passages, and those without a direction in the
+    latent space, are verified wherever enough of their words stand together, which each of their places must have.
+    """
 
     def __init__(self, passages: list[Passage], terms: list[str], idf: np.ndarray, space: np.ndarray, s: Settings) -> None:
         self.s, self.passages = s, passages
-        heavy = idf >= 0.1 * idf.max() if len(idf) else idf > 0
-        self.number = {t: i for i, t in enumerate(terms) if heavy[i]}
-        self.idf, self.space = idf * heavy, (space * (idf * heavy)[:, None]).astype(np.float32)
-        ids = {t: i for i, t in enumerate(terms)}
+        self.number = ids = {t: i for i, t in enumerate(terms)}
+        self.idf, self.space = idf, (space * idf[:, None]).astype(np.float32)
         self.answers = [set(p.answer) or set(sorted(set(p.words), key=lambda w: (-idf[ids[w]], w))[: s.seldom]) for p in passages]
         by_size: dict[int, list[int]] = {}
         for k, p in enumerate(passages):
             by_size.setdefault(next((w for w in s.sizes if w >= len(p.words)), s.sizes[-1]), []).append(k)
-        self.classes = []
+        self.classes, self.light = [], []
         for size, of in sorted(by_size.items()):
             rows, masses = [], []
             for k in of:
-                at = [self.number[w] for w in passages[k].words if w in self.number]
+                at = [ids[w] for w in passages[k].words]
                 rows.append(self.space[at].sum(axis=0))
                 masses.append(float((self.idf[at] ** 2).sum()))
             q = np.array(rows, np.float32)
             norm = np.linalg.norm(q, axis=1)
-            ok = norm > 1e-6
+            heavy = np.array(masses) >= np.log(s.light) ** 2 * np.array([len(passages[k].words) for k in of])
+            ok = heavy & (norm > 1e-6)
+            self.light += [(size, k, np.array(sorted({ids[w] for w in passages[k].words}))) for k, o in zip(of, ok, strict=True) if not o]
             if ok.any():
                 self.classes.append((size, [k for k, o in zip(of, ok, strict=True) if o], (q[ok] / norm[ok, None]).T.copy(), s.mass * min(m for m, o in zip(masses, ok, strict=True) if o)))
 
@@ -180,6 +187,14 @@ class Matcher:
         if not len(place):
             return
         ids = ids[place]
+        for size, k, own in self.light:
+            at, need = place[np.isin(ids, own)], self.s.near * len(self.passages[k].words)
+            if len(at) < need:
+                continue
+            starts = np.arange(0, max(1, end - begin - size // 2), max(1, size // 4))
+            held = np.searchsorted(at, starts + size + size // 4) - np.searchsorted(at, starts - size // 4)
+            for i in starts[held >= need].tolist():
+                self._verify(k, words, begin + i, size, 0.0, best)
         mass = np.concatenate([[0.0], np.cumsum(self.idf[ids] ** 2)])
         sums = None
         for size, of, q, least in self.classes:
@@ -251,9 +266,9 @@ FOUND = "doc_id long, item_id long, word_start long, word_end long, cosine doubl
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """A row for each row of docs and benchmark item that it holds: ids, place (word numbers), cosine and shares.
 
-    Documents that hold none have no row; null and empty texts hold none. Items whose words all stand in nearly
-    every document have no direction in the latent space and are not found; items of fewer than 8 words must be there
-    in full. Repeated rows of docs each get their rows. Other columns are not read.
+    Documents that hold none have no row; null and empty texts hold none. The cosine of passages that are found
+    without the latent space, as their words stand in very many documents, is 0; items of fewer than 8 words must be
+    there in full. Repeated rows of docs each get their rows. Other columns are not read.
     """
     out = docs.sparkSession.createDataFrame([], FOUND)
     for m in matchers(docs, benchmark, s):

@@ -488,6 +488,24 @@ def test_leaks_exact_edited_and_clean(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench, small).collect()} == want
 
 
+def matcher_of(words, n, df, answer=()):
+    """A matcher of one passage in the space of all its block's terms, 60 of them from other passages."""
+    terms = sorted({*words, *(f"other{i}" for i in range(60))})
+    idf = np.log((n + 1.0) / (np.array([df.get(t, 5) for t in terms]) + 1.0)) + 1e-3
+    return decontaminate.Matcher([decontaminate.Passage(1, words, list(answer))], terms, idf, np.eye(len(terms)), decontaminate.Settings())
+
+
+@pytest.mark.parametrize("n", [3_000, 300_000, 20_000_000])
+@pytest.mark.parametrize("share", [1.0, 0.33, 0.1])
+def test_leaks_in_a_large_share_of_all_documents_are_found(n, share):
+    words = [f"leaked{i}" for i in range(17)]
+    m = matcher_of(words, n, {w: int(n * share) for w in words})
+    near = [f"other{i}" for i in range(60)]  # rare words on both sides
+    assert [r[0] for r in m.matches(" ".join(near[:25] + words + near[25:]))] == [1]
+    assert [r[0] for r in m.matches(" ".join(near * 70 + words[:16] + near))] == [1]
+    assert not m.matches(" ".join(near + words[:9] + near)) and not m.matches(" ".join(near))
+
+
 def test_written_tables_are_read_from_the_shared_folder(spark):
     df, path = written(spark.range(3), "t")
     assert path.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")) and df.count() == 3
