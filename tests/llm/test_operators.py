@@ -506,6 +506,18 @@ def test_leaks_in_a_large_share_of_all_documents_are_found(n, share):
     assert not m.matches(" ".join(near + words[:9] + near)) and not m.matches(" ".join(near))
 
 
+def test_paraphrases_that_fill_half_a_window_are_found():
+    words = [f"item{i}" for i in range(20)]
+    m, rng, found = matcher_of(words, 10_000, {}), random.Random(16), 0
+    for _ in range(50):
+        near, copy = rng.sample([f"other{i}" for i in range(60)], 60), list(words)
+        for i in rng.sample(range(20), 4):
+            copy[i] = near[i]
+        at = rng.randrange(20, 40)
+        found += [r[0] for r in m.matches(" ".join(near[:at] + copy + near[at:]))] == [1]
+    assert found == 50
+
+
 def test_written_tables_are_read_from_the_shared_folder(spark):
     df, path = written(spark.range(3), "t")
     assert path.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")) and df.count() == 3
