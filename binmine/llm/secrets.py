@@ -10,6 +10,7 @@ them, take no more than that.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +50,10 @@ ADDED = (
 )
 
 
+#: What follows the header of a private key: all to the END line, or where there is none, lines of "Name: value" and of base64.
+KEY_BODY = re.compile(rb"-----(?:(?:(?!-----)[\s\S])*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|(?:\s*[A-Za-z0-9-]+: [^\r\n]*[\r\n])*(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*(?:\s*[A-Za-z0-9+/]+={1,2})?)")
+
+
 class Scanner:
     """spans(text): (kind index, start, end) in code points, by start, then rule."""
 
@@ -106,6 +111,8 @@ class Scanner:
                 end = i
                 while end < len(data) and data[end] in values:
                     end += 1
+                if rule.kind == "pem" and (body := KEY_BODY.match(data, at)):
+                    end = max(end, body.end())
                 done[k] = end
                 if end - at >= rule.least:
                     out.append((k, start, end))

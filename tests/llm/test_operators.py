@@ -133,6 +133,15 @@ def test_scanner_finds_what_the_regexes_find():
         assert [(a, k, e) for k, a, e in scanner.spans(t) if k < 3] == base_spans(t), t
 
 
+def test_private_keys_are_covered_with_their_body():
+    scanner, body = secrets.Scanner(), ("MIIEow/+AB9x" * 5 + "abcd\n") * 20 + "Zm9v+A==\n"
+    for kind in ("", "RSA ", "OPENSSH "):
+        head, end = f"-----BEGIN {kind}PRIVATE KEY-----\n", f"-----END {kind}PRIVATE KEY-----"
+        for key in (head + body + end, head + "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES,0f\n\n" + body + end, head + body.rstrip()):
+            assert [s for s in scanner.spans(f"é {key}\n\nwords after") if s[0] == 4] == [(4, 2, 2 + len(key))]
+    assert scanner.spans("-----BEGIN PRIVATE KEY----- starts a key") == [(4, 0, 27)]
+
+
 def test_automaton_is_minimal_and_agrees_with_re():
     a = automaton.compile_patterns([("ab{2,3}c?", False), ("(x|xy)+z", True)], anchored=True)
     rng = random.Random(4)
