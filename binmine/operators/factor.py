@@ -11,6 +11,14 @@ from binmine.functions.bits import nearest
 from binmine.operators import merge
 
 
+#: Rounds after which a model that still improves raises instead of giving unfinished labels.
+GUARD = 10_000
+
+
+def _unsettled(rounds: int) -> RuntimeError:
+    return RuntimeError(f"the objective still falls after {rounds} rounds")
+
+
 def patterns(obs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """cluster, v: bit j is one where a cluster's mean of it is over 1 / k."""
     cells = obs.join(labels, "id").select("cluster", F.posexplode("v").alias("j", "b")).groupBy("cluster", "j").agg((F.sum("b") * k > F.count(F.lit(1))).cast("tinyint").alias("b"))
@@ -23,8 +31,11 @@ def pattern_objective(obs: DataFrame, labels: DataFrame, pats: DataFrame) -> Dat
     return both.agg(F.sum(F.aggregate(F.zip_with("v", "m", lambda a, b: F.abs(a - b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)).alias("objective"))
 
 
-def binary_model(obs: DataFrame, k: int, seed: int = 1, rounds: int = 30) -> DataFrame:
-    """id, cluster: rows go to the nearest pattern, patterns follow, while the objective falls; the last rows' places count."""
+def binary_model(obs: DataFrame, k: int, seed: int = 1, rounds: int = GUARD) -> DataFrame:
+    """id, cluster: rows go to the nearest pattern, patterns follow, while the objective falls; the last rows' places count.
+
+    An error if it still falls after so many rounds.
+    """
     labels = obs.select("id", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)) + 1).cast("int").alias("cluster"))
     p = len(obs.select("v").first().v)
     last = None
@@ -36,6 +47,8 @@ def binary_model(obs: DataFrame, k: int, seed: int = 1, rounds: int = 30) -> Dat
         if last is not None and now >= last:
             break
         last = now
+    else:
+        raise _unsettled(rounds)
     return labels
 
 
@@ -43,7 +56,7 @@ def binary_kernel(k: int, seed: int):
     def run(x: np.ndarray, chunk: int = 0) -> tuple[np.ndarray, np.ndarray]:
         label = np.random.default_rng(seed + chunk).integers(0, k, len(x))
         last = None
-        for _ in range(30):
+        for _ in range(GUARD):
             b = np.array([(x[label == c].mean(0) > 1 / k) if (label == c).any() else np.zeros(x.shape[1]) for c in range(k)]).astype(int)
             d = (x[:, None, :] != b[None]).sum(2)
             label = d.argmin(1)
@@ -51,6 +64,8 @@ def binary_kernel(k: int, seed: int):
             if last is not None and now >= last:
                 break
             last = now
+        else:
+            raise _unsettled(GUARD)
         label = merge.dense(label)
         return label, merge.medoids(x, label, 1000, seed)
 
@@ -116,8 +131,11 @@ def _small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def block_model(obs: DataFrame, k: int, c: int, rounds: int = 20, variant: str = "full") -> tuple[DataFrame, DataFrame]:
-    """Row labels (id, cluster) and column labels (j, colcluster); steps alternate while the objective falls."""
+def block_model(obs: DataFrame, k: int, c: int, rounds: int = GUARD, variant: str = "full") -> tuple[DataFrame, DataFrame]:
+    """Row labels (id, cluster) and column labels (j, colcluster); steps alternate while the objective falls.
+
+    An error if it still falls after so many rounds.
+    """
     labels, cols = first_blocks(obs, k, c)
     means, last = _small(block_means(obs, labels, cols)), None
     for _ in range(rounds):
@@ -128,6 +146,8 @@ def block_model(obs: DataFrame, k: int, c: int, rounds: int = 20, variant: str =
         if last is not None and now >= last - 1e-12:
             break
         labels, cols, means, last = new, new_cols, new_means, now
+    else:
+        raise _unsettled(rounds)
     return labels, cols
 
 
@@ -137,7 +157,7 @@ def block_kernel(k: int, c: int, seed: int):
         a = np.searchsorted(np.array([n * i // k for i in range(1, k + 1)]), np.arange(1, n + 1))
         b = np.searchsorted(np.array([p * i // c for i in range(1, c + 1)]), np.arange(1, p + 1))
         last = None
-        for _ in range(20):
+        for _ in range(GUARD):
             m = np.array([[x[np.ix_(a == i, b == j)].mean() if (a == i).any() and (b == j).any() else 0 for j in range(c)] for i in range(k)])
             m = np.where(m == 0, 1e-8, m)
             new = ((x[:, None, :] - m[:, b][None]) ** 2).sum(2).argmin(1)
@@ -146,6 +166,8 @@ def block_kernel(k: int, c: int, seed: int):
             if last is not None and now >= last:
                 break
             a, b, last = new, nb, now
+        else:
+            raise _unsettled(GUARD)
         label = merge.dense(a)
         return label, merge.medoids(x, label, 1000, seed)
 

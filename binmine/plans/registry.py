@@ -455,7 +455,7 @@ def mona(s, d):
 
 @query
 def binmodel(s, d):
-    return factor.binary_model(_obs(s, d), CLASSES, rounds=8)
+    return factor.binary_model(_obs(s, d), CLASSES)
 
 
 @query
@@ -465,7 +465,7 @@ def binmodel_par(s, d):
 
 @query
 def blockmodel(s, d):
-    return factor.block_model(_obs(s, d), 5, 4, rounds=5)[0]
+    return factor.block_model(_obs(s, d), 5, 4)[0]
 
 
 @query

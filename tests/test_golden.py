@@ -19,6 +19,7 @@ def labelled(spark, orig, result):
     return spark.createDataFrame(list(zip(range(1, len(orig) + 1), orig, result, strict=True)), "id long, orig int, result int")
 
 
+SF = "/root/testdata/sf0.001"
 GOLD = ([1, 1, 1, 2, 2], [1, 1, 2, 2, 3])
 
 
@@ -178,6 +179,33 @@ def test_mbt_splits_the_most_balanced_bit(spark):
     assert parts.count() == 4 and parts.select("part").distinct().count() == 4
 
 
+def uncapped_blocks(x, k, c, first=lambda n, k: np.searchsorted([n * i // k for i in range(1, k + 1)], np.arange(1, n + 1))):
+    a, b, last, rounds = first(len(x), k), first(x.shape[1], c), None, 0
+    m = lambda: np.array([[x[np.ix_(a == i, b == j)].mean() if (a == i).any() and (b == j).any() else 0 for j in range(c)] for i in range(k)])
+    while True:
+        mean = np.where(m() == 0, 1e-8, m())
+        # costs are rounded so that ties are ties, as the operator does
+        na = np.round(((x[:, None, :] - mean[:, b][None]) ** 2).sum(2), 9).argmin(1)
+        nb = np.round(((x.T[:, None, :] - mean.T[:, na][None]) ** 2).sum(2), 9).argmin(1)
+        keep, (a, b) = (a, b), (na, nb)
+        now = float(((x - np.where(m() == 0, 1e-8, m())[np.ix_(na, nb)]) ** 2).sum()) ** 0.5
+        if last is not None and now >= last - 1e-12:
+            return keep[0], rounds
+        last, rounds = now, rounds + 1
+
+
+def test_models_run_until_the_objective_no_longer_falls(spark):
+    from binmine.plans import registry
+
+    x = np.array([r.v for r in tables.sign_bits(spark, SF).orderBy("id").collect()])
+    want, rounds = uncapped_blocks(x, 5, 4)
+    got = np.array([r.cluster - 1 for r in registry.QUERIES["blockmodel"](spark, SF).orderBy("id").collect()])
+    assert rounds > 5 and (got == want).all()
+    for f in (lambda: factor.block_model(obs_of(spark, x[:60]), 5, 4, rounds=1), lambda: factor.binary_model(obs_of(spark, x[:60]), 3, rounds=1)):
+        with pytest.raises(RuntimeError):
+            f()
+
+
 def test_block_model_variants_and_objective(spark):
     x = np.kron(np.eye(2, dtype=int), np.ones((4, 3), int))
     labels, cols = factor.block_model(obs_of(spark, x), 2, 2)
