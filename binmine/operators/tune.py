@@ -28,6 +28,12 @@ def sample_of(obs: DataFrame, classes: int, total: int = SAMPLE, seed: int = 1)
     return stratified(obs, total, classes, seed).persist()
 
 
+def feasible(obs: DataFrame, classes: int, total: int = SAMPLE) -> int:
+    """total, or where the smallest class is smaller than its share the most rows that all classes can give alike."""
+    least = obs.groupBy("orig").count().agg(F.min("count")).first()[0]
+    return total if least is None or least >= -(-total // classes) else classes * least
+
+
 def grid_search(sample: DataFrame, grid, cluster: Callable[[DataFrame, object], DataFrame], score: str):
     """(best setting, scores): cluster gives id, cluster of the sample; score is "f1" or "rand"."""
     scores = []

@@ -504,38 +504,44 @@ def _best(s, best, scores, grid) -> DataFrame:
     return s.createDataFrame([(str(g), float(x), g == best) for g, x in zip(grid, scores, strict=True)], "setting string, score double, best boolean")
 
 
+def _sampled(s, d, *p) -> tuple:
+    """The tuners' arguments: sign bits, classes, p and the size of the sample."""
+    obs = tables.sign_bits(s, d)
+    return obs, CLASSES, *p, tune.feasible(obs, CLASSES)
+
+
 @query
 def tune_minhash(s, d):
-    grid = tune.MINHASH_GRID[::6]
-    return _best(s, *tune.tune_minhash(tables.sign_bits(s, d), CLASSES, P, 200, grid=grid), grid)
+    grid = tune.MINHASH_GRID
+    return _best(s, *tune.tune_minhash(*_sampled(s, d, P), grid=grid), grid)
 
 
 @query
 def tune_lsh(s, d):
-    grid = tune.LSH_GRID[::13]
-    return _best(s, *tune.tune_lsh(tables.sign_bits(s, d), CLASSES, P, 200, grid=grid), grid)
+    grid = tune.LSH_GRID
+    return _best(s, *tune.tune_lsh(*_sampled(s, d, P), grid=grid), grid)
 
 
 @query
 def tune_canopy(s, d):
-    grid = tune.CANOPY_GRID[::3]
-    return _best(s, *tune.tune_canopy(tables.sign_bits(s, d), CLASSES, 200, grid=grid), grid)
+    grid = tune.CANOPY_GRID
+    return _best(s, *tune.tune_canopy(*_sampled(s, d), grid=grid), grid)
 
 
 @query
 def tune_sorted(s, d):
-    grid = (0.3, 0.4)
-    return _best(s, *tune.tune_sorted(tables.sign_bits(s, d), CLASSES, 200, grid=grid, runs=1), grid)
+    grid = tune.SORTED_GRID
+    return _best(s, *tune.tune_sorted(*_sampled(s, d), grid=grid), grid)
 
 
 @query
 def tune_proximus(s, d):
-    grid = tune.PROXIMUS_GRID[::5]
-    _, scores = tune.tune_proximus(tables.sign_bits(s, d), CLASSES, 200, grid=grid)
+    grid = tune.PROXIMUS_GRID
+    _, scores = tune.tune_proximus(*_sampled(s, d), grid=grid)
     return _best(s, grid[max(range(len(grid)), key=lambda i: (scores[i], -i))], scores, grid)
 
 
 @query
 def tune_bubble(s, d):
-    grid = tune.BUBBLE_GRID[::6]
-    return _best(s, *tune.tune_bubble(tables.sign_bits(s, d), CLASSES, 200, grid=grid), grid)
+    grid = tune.BUBBLE_GRID
+    return _best(s, *tune.tune_bubble(*_sampled(s, d), grid=grid), grid)

@@ -179,6 +179,24 @@ def test_mbt_splits_the_most_balanced_bit(spark):
     assert parts.count() == 4 and parts.select("part").distinct().count() == 4
 
 
+def test_tuners_are_registered_over_their_full_grids(spark, monkeypatch):
+    from binmine.operators import tune
+    from binmine.plans import registry
+
+    seen = {}
+    for name in ("minhash", "lsh", "canopy", "sorted", "proximus", "bubble"):
+
+        def record(obs, *args, grid, name=name, **more):
+            seen[name] = grid, args[-1], more
+            return grid[0], [0.0] * len(grid)
+
+        monkeypatch.setattr(tune, f"tune_{name}", record)
+        registry.QUERIES[f"tune_{name}"](spark, SF)
+    assert seen == {n: (getattr(tune, f"{n.upper()}_GRID"), 420, {}) for n in seen} and len(seen) == 6
+    many = labelled(spark, [1, 2] * 60, [0] * 120)
+    assert (tune.feasible(many, 2, 100), tune.feasible(many, 2, 200)) == (100, 120)
+
+
 def uncapped_blocks(x, k, c, first=lambda n, k: np.searchsorted([n * i // k for i in range(1, k + 1)], np.arange(1, n + 1))):
     a, b, last, rounds = first(len(x), k), first(x.shape[1], c), None, 0
     m = lambda: np.array([[x[np.ix_(a == i, b == j)].mean() if (a == i).any() and (b == j).any() else 0 for j in range(c)] for i in range(k)])
