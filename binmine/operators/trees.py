@@ -23,15 +23,17 @@ def balanced_variables(obs: DataFrame, *by: str) -> DataFrame:
     return item_support(obs, *by).groupBy(*by).agg(F.min(F.struct(F.abs(2 * F.col("s") - F.col("n")).alias("off"), "j")).alias("m"), F.max("n").alias("n")).select(*by, F.col("m.j").alias("j"), F.col("m.off").alias("off"), "n")
 
 
-def mbt_partitions(obs: DataFrame, threshold: int, chunk: str | None = None, depth: int = 32) -> DataFrame:
+def mbt_partitions(obs: DataFrame, threshold: int, chunk: str | None = None) -> DataFrame:
     """id, v, (chunk,) part: the bits taken on the way down. Parts over threshold are split, and all are at first, twice.
 
-    A part whose best bit is constant is final. The table of chosen bits grows with rows / threshold, so how it is joined is
+    A part whose best bit is constant is final; a bit is constant below its split, so there are no more levels than bits. The table of chosen bits grows with rows / threshold, so how it is joined is
     left to the optimiser.
     """
     by = [chunk] if chunk else []
     now = obs.select("id", *by, "v", F.lit("").alias("part"), F.lit(True).alias("open"))
-    for level in range(depth):
+    first = obs.select("v").first()
+    bits = len(first.v) if first else 0
+    for level in range(bits + 1):
         pick = balanced_variables(now.where("open"), *by, "part").withColumn("split", F.col("off") < F.col("n")).where(F.col("split") & ((F.col("n") > threshold) | F.lit(level < 2)))
         chosen = checkpointed(pick.select(*by, "part", "j"))
         if chosen.isEmpty():
@@ -40,6 +42,8 @@ def mbt_partitions(obs: DataFrame, threshold: int, chunk: str | None = None, dep
         now = now.join(chosen, [*by, "part"], "left").select("id", *by, "v", F.when(F.col("j").isNotNull(), F.concat("part", bit)).otherwise(F.col("part")).alias("part"), F.col("j").isNotNull().alias("open"))
         if level % 4 == 3:
             now = checkpointed(now)
+    else:
+        raise RuntimeError(f"parts are still split after {bits + 1} levels of {bits} bits")
     return now.drop("open")
 
 

@@ -179,6 +179,12 @@ def test_mbt_splits_the_most_balanced_bit(spark):
     assert parts.count() == 4 and parts.select("part").distinct().count() == 4
 
 
+def test_mbt_splits_below_32_levels(spark):
+    parts = trees.mbt_partitions(obs_of(spark, np.eye(36, dtype=int)), 1)  # each level splits one row off
+    assert parts.select("part").distinct().count() == 36 and parts.count() == 36
+    assert trees.mbt_partitions(parts.select("id", "v").limit(0), 1).count() == 0
+
+
 def test_tuners_are_registered_over_their_full_grids(spark, monkeypatch):
     from binmine.operators import tune
     from binmine.plans import registry
