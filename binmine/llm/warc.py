@@ -1,8 +1,10 @@
 """WARC archives without repeated payloads.
 
-Each page gets one record. Headers (digest, length, id) are shuffled by payload digest; of equal payloads of at least
-MIN_BYTES the one with the smallest page id is written as a response, the others as revisit records whose fresh
-headers refer to it. Spark's text writer puts the records into gzip files through its commit protocol, so a lost
+Each page gets one record. Headers (digest, length, id, url) are shuffled by payload digest, without payloads; of equal
+payloads of at least MIN_BYTES the one with the smallest page id is a response, and the others become revisit records whose
+fresh headers refer to it, for which headers are all that is needed. Pages that are not in that table of revisits are
+written as responses: where it is small it is sent to them, else pages meet it by id and digest, which spreads a payload
+that very many pages share. Spark's text writer puts the records into gzip files through its commit protocol, so a lost
 executor costs only the rewriting of its files, and the archives may lie in any store that Spark can write.
 
 Every record starts with the same two header lines: the version, and WARC-Warcinfo-ID with the archive's own UUID.
@@ -17,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import discard, scratch, table, written
 
 MIN_BYTES = 100
 CRLF = "\r\n"
@@ -29,24 +31,23 @@ def _urn(text: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
-def resolve(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, html with payload_bytes, payload_digest, record_type and refers_to.
+def headers(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload_bytes and payload_digest of each row, and html; a null payload is empty."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), html.alias("html"))
 
-    The originals are pre-aggregated by digest before the shuffle, so a payload that a third of the pages share
-    costs one row a task; only digests that occur more than once reach the join. A null payload is empty. If several rows
-    have the smallest page id of a digest, all of them are responses. A null page id is never an original: it revisits,
+
+def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest and refers_to of the pages whose payload an original has.
+
+    The originals are pre-aggregated by digest before the shuffle, so a payload that a third of the pages share costs one
+    row a task; only digests that occur more than once reach the join. Rows with the smallest page id of a digest are
+    its originals, all of them if that id is repeated. A null page id is never an original: it revisits,
     or is a response where no other page has that payload.
     """
-    html = F.coalesce("html", F.lit(""))
-    base = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"))
-    first = base.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1 and __first is not null").drop("__n")
-    again = F.col("__first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("__first")))
-    return (
-        base.join(first, "payload_digest", "left")
-        .withColumn("record_type", F.when(again, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(again, F.col("__first")))
-        .drop("__first")
-    )
+    head = headers(pages).drop("html").where(F.col("payload_bytes") >= min_bytes)
+    first = head.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("__n")).where("__n > 1 and refers_to is not null").drop("__n")
+    return head.join(first, "payload_digest").where("page_id is null or page_id != refers_to").select("page_id", "url", "payload_bytes", "payload_digest", "refers_to")
 
 
 def _one_line(c: Column) -> Column:
@@ -58,9 +59,22 @@ def _record_id(page_id: Column, digest: Column, archive: str) -> Column:
     return _urn(F.concat_ws("|", F.lit(archive), F.coalesce(page_id.cast("string"), F.lit("null")), digest))
 
 
-def write_archive(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> str:
-    """Write resolve()'s rows as WARC 1.1 below path; returns the archive's id, which read_archive() needs."""
-    spark, archive = resolved.sparkSession, f"urn:uuid:{uuid.uuid4()}"
+def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = "2024-01-01T00:00:00Z") -> str:
+    """Write a WARC 1.1 record for each row of pages (page_id, url, html; others are not read) below path.
+
+    Returns the archive's id, which read_archive() needs. Equal payloads of at least min_bytes are written once.
+    """
+    spark, archive = pages.sparkSession, f"urn:uuid:{uuid.uuid4()}"
+    again, again_path = written(revisits(pages, min_bytes), "revisits")
+    rest = headers(pages).join(again.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest")).distinct(), F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest")), "left_anti")
+    records = rest.withColumn("refers_to", F.lit(None).cast("long")).withColumn("record_type", F.lit("response")).unionByName(again.withColumn("html", F.lit("")).withColumn("record_type", F.lit("revisit")))
+    _write_records(records, path, archive, date)
+    discard(spark, again_path)
+    return archive
+
+
+def _write_records(resolved: DataFrame, path: str, archive: str, date: str) -> None:
+    spark = resolved.sparkSession
     revisit = F.col("record_type") == "revisit"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
@@ -81,7 +95,6 @@ def write_archive(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:
     first = f"WARC/1.1{CRLF}WARC-Warcinfo-ID: <{archive}>{CRLF}WARC-Type: warcinfo{CRLF}WARC-Record-ID: <{archive}>{CRLF}WARC-Date: {date}{CRLF}Content-Type: application/warc-fields{CRLF}Content-Length: {len(info)}{CRLF * 2}{info}{CRLF}"
     out = resolved.select(record.alias("value")).unionByName(spark.createDataFrame([(first,)], "value string"))
     out.write.option("lineSep", CRLF).option("compression", "gzip").text(path)
-    return archive
 
 
 def read_archive(spark: SparkSession, path: str, archive: str) -> DataFrame:
@@ -107,7 +120,10 @@ def read_archive(spark: SparkSession, path: str, archive: str) -> DataFrame:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Join revisit records to the responses that they refer to: page_id, sizes, digest, type, refers_to (a page id)."""
+    """Join revisit records to the responses that they refer to: page_id, sizes, digest, type, refers_to (a page id).
+
+    A revisit whose original is missing has no refers_to and is not ok, as one whose digest or length is not its original's.
+    """
     originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes")).dropDuplicates(["refers_to_id"])
     responses = records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
     revisits = records.where("record_type = 'revisit'").join(originals, "refers_to_id", "left")
@@ -118,5 +134,6 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as a deduplicated archive in the shared folder and read it back."""
     path = scratch(spark, "warc")
-    archive = write_archive(resolve(table(spark, sf_dir, "pages")), path)
-    return resolve_revisits(read_archive(spark, path, archive))
+    archive = write_archive(table(spark, sf_dir, "pages"), path)
+    records, _ = written(read_archive(spark, path, archive).drop("payload"), "records")  # payloads are verified and left
+    return resolve_revisits(records)
