@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import discard, table, written
+from .common import discard, map_texts, table, written
 from .components import Forest, connected_components
 
 COSINE = 0.95
 #: Principal dimensions of the grid, and the vectors (drawn by hash) that they are fitted on; they only steer the skipping.
 DIMENSIONS, FIT_ROWS = 6, 20_000
-#: Vectors of a block and of the smallest interval, and children of a node in the tree of blocks.
-BLOCK, LEAF, FAN = 2048, 256, 16
+#: Vectors of the smallest interval, and children of a node in the tree of blocks.
+LEAF, FAN = 256, 16
+#: Vectors of a block: a share of all, so that blocks are few and each is sent to few others, between bounds, so that a task holds two.
+SHARE, SMALLEST, LARGEST = 6, 2048, 16_384
 
 
 def usable(v: Column) -> Column:
@@ -63,6 +65,17 @@ def _projected(units: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return units[:, :n] @ basis[:n]
 
 
+def _sides(units: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The projection, and the length of what it leaves out."""
+    p = _projected(units, basis)
+    return np.column_stack([p, np.sqrt(np.maximum(0.0, 1.0 - (p * p).sum(axis=1)))])
+
+
+def _near(eps2: float) -> float:
+    """A squared distance with room for what lengths near zero lose by rounding."""
+    return eps2 * (1 + 1e-6) + 1e-7
+
+
 def _cells(basis: np.ndarray, eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,7 +107,7 @@ def _blocks(basis: np.ndarray, kind: str, size: int):
         def block(dim: int, reps: list, counts: list, vecs: list) -> pa.RecordBatch:
             nonlocal seq
             x = np.array(vecs, kind)
-            p = _projected(_units(x), basis)
+            p = _sides(_units(x), basis)
             row = {"block": part * (1 << 32) + seq, "dim": dim, "lo": p.min(axis=0).tolist(), "hi": p.max(axis=0).tolist(), "reps": np.array(reps, np.int64).tobytes(), "counts": np.array(counts, np.int64).tobytes(), "vecs": x.tobytes()}
             seq += 1
             return pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("reps", pa.binary()), ("counts", pa.binary()), ("vecs", pa.binary())]))
@@ -127,18 +140,18 @@ def near_blocks(boxes: DataFrame, k: int, eps: float, fan: int = FAN) -> DataFra
         side = lambda s: nodes.select(*(F.col(c).alias(f"{s}{c}") for c in nodes.columns))
         gap = sum(F.pow(F.greatest(F.lit(0.0), F.col(f"yhi{i}") * -1 + F.col(f"xlo{i}"), F.col(f"ylo{i}") - F.col(f"xhi{i}")), 2) for i in range(k))
         children = pairs.select(F.explode(F.expr(f"sequence(a * {fan}, a * {fan} + {fan - 1})")).alias("xnode"), "b").select("xnode", F.explode(F.expr(f"sequence(b * {fan}, b * {fan} + {fan - 1})")).alias("ynode")).where("xnode <= ynode")
-        pairs = children.join(side("x"), "xnode").join(side("y"), "ynode").where((gap <= eps * eps * (1 + 1e-9)) & F.expr("xd0 <= yd1 and yd0 <= xd1")).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+        pairs = children.join(side("x"), "xnode").join(side("y"), "ynode").where((gap <= _near(eps * eps)) & F.expr("xd0 <= yd1 and yd0 <= xd1")).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
     return pairs
 
 
 def join_blocks(x: np.ndarray, y: np.ndarray | None, basis: np.ndarray, cosine: float, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i, j) of unit vectors x and y with that cosine or more, interval by interval; y None: pairs i < j of x."""
-    eps2 = (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
+    eps2 = _near(2 - 2 * cosine)
     own = y is None
     y = x if own else y
     sides = []
     for v in (x, y):
-        p = _projected(v, basis)
+        p = _sides(v, basis)
         n = -(-len(v) // leaf)
         boxes = {(i, i + 1): (p[i * leaf : (i + 1) * leaf].min(axis=0), p[i * leaf : (i + 1) * leaf].max(axis=0)) for i in range(n)}
         sides.append((n, boxes))
@@ -208,12 +221,12 @@ def _compare(basis: np.ndarray, kind: str, cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors; rows link at that cosine (0 < cosine <= 1) or more.
 
     A vector that is null, empty, zero or has null or non-finite components links with nothing, as does a row with a null
     id and vectors of different lengths; such a row is a component of its own (of no id, if its id is null). Equal
-    vectors link. Repeated rows count as other rows. Other columns are not read.
+    vectors link. Repeated rows count as other rows. Other columns are not read. block: vectors of a block, if not a share of all.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec"))
@@ -223,23 +236,22 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     good = rows.where(usable(F.col("vec")) & F.col("vec_id").isNotNull())
     classes, class_path = written(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", "vec"), "vectors")
     basis, eps = principal_dimensions(classes), math.sqrt(2 - 2 * cosine) + 1e-9
+    block = block or max(SMALLEST, min(LARGEST, classes.count() // SHARE))
     k = basis.shape[1]
     order = ["dim", *(f"c{i}" for i in range(k)), "rep"]
     celled = classes.mapInArrow(_cells(basis, eps), T.StructType([*classes.schema.fields, T.StructField("dim", T.IntegerType()), *(T.StructField(f"c{i}", T.IntegerType()) for i in range(k))]))
     made = celled.repartitionByRange(*order).sortWithinPartitions(*order).select("rep", "n", "vec", "dim").mapInArrow(_blocks(basis, kind, block), "block long, dim int, lo array<double>, hi array<double>, reps binary, counts binary, vecs binary")
     blocks, block_path = written(made, "blocks")
-    number = blocks.select("block", "dim", *(F.col("lo")[i].alias(f"lo{i}") for i in range(k)), *(F.col("hi")[i].alias(f"hi{i}") for i in range(k))).withColumn("b", F.row_number().over(Window.orderBy("block")).cast("long") - 1)
+    # a block's number is its place in its partition after the blocks of earlier partitions: a row for each partition is ordered
+    parts = blocks.groupBy(F.shiftright("block", 32).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    sides = k + 1
+    number = blocks.select("block", "dim", *(F.col("lo")[i].alias(f"lo{i}") for i in range(sides)), *(F.col("hi")[i].alias(f"hi{i}") for i in range(sides)), F.shiftright("block", 32).alias("part")).join(before, "part").withColumn("b", F.col("before") + F.col("block").bitwiseAND((1 << 32) - 1)).drop("part", "before")
     boxes, box_path = written(number, "boxes")
     data = blocks.join(boxes.select("block", F.col("b").alias("id")), "block")
     side = lambda s: data.select(F.col("id").alias({"x": "a", "y": "b"}[s]), "dim", *(F.col(c).alias(s + c) for c in ("reps", "counts", "vecs")))
-    near = near_blocks(boxes, k, eps).join(side("x"), "a").join(side("y"), ["b", "dim"]).select("a", "b", "dim", "xreps", "xcounts", "xvecs", "yreps", "ycounts", "yvecs")
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(conf, None)
-    spark.conf.set(conf, 8)  # a row holds two blocks; this bounds what stands in memory at once
-    try:
-        found, found_path = written(near.mapInArrow(_compare(basis, kind, cosine), "a long, b long, n long"), "near")
-    finally:
-        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+    near = near_blocks(boxes, sides, eps).join(side("x"), "a").join(side("y"), ["b", "dim"]).select("a", "b", "dim", "xreps", "xcounts", "xvecs", "yreps", "ycounts", "yvecs")
+    found, found_path = written(map_texts(near, _compare(basis, kind, cosine), "a long, b long, n long"), "near")  # a batch holds few pairs of blocks
     discard(spark, block_path, box_path)
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     parts = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
