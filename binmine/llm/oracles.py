@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat import TEMPLATE
 from .secrets import ADDED, BASE, Rule
-from .url_filter import LIMIT, RULES, SUFFIXES, Z
+from .url_filter import DEFAULT_SUFFIXES, ERROR, LIFT, MOST, RULES, STEPS, below
 from .warc import MIN_BYTES
 
 OP2 = """with recursive
@@ -51,7 +51,8 @@ def _strength(src: str) -> str:
     return f"(select 1.0::double / least(greatest(coalesce((sum(power(bad - n * p, 2) / (p * (1 - p))) - sum(n)) / nullif(sum(n * (n - 1.0::double)), 0), 0), 1e-4), 0.5) - 1.0::double as k from {src} where n > 0)"
 
 
-_TWO = "|".join(s.replace(".", "\\.") for s in SUFFIXES)
+_TWO = "|".join(s.replace(".", "\\.") for s in DEFAULT_SUFFIXES)
+_BELOW = below("a", "b", "lim", f"list_sum(list_transform(range({STEPS}), lambda i: {{0}}))")
 _RULE = "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{r.name}'" for r in sorted(RULES, key=lambda r: -len(r.name))) + " end"
 OP6 = f"""with u as (select page_id, url, strpos(url, '://') as pos from pages),
 w as (select page_id, case when pos > 0 then translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
@@ -66,8 +67,8 @@ s1 as (select suffix, (bad + k * p) / (n + k) as p from s0, {_strength("s0")}),
 d0 as (select suffix, domain, sum(n) as n, sum(bad) as bad, any_value(p) as p from z join s1 using (suffix) group by suffix, domain),
 d1 as (select suffix, domain, (bad + k * p) / (n + k) as p from d0, {_strength("d0")}),
 h0 as (select z.host, z.n, z.bad, d1.p from z join d1 using (suffix, domain)),
-h1 as (select host, n, bad, (bad + k * p) / (n + k) as mean, n + k as weight from h0, {_strength("h0")}),
-j as (select host, n, bad, mean - {Z} * sqrt(mean * (1 - mean) / (weight + 1)) > {LIMIT} as blocked from h1),
+h1 as (select host, n, bad, bad + k * p as a, n - bad + k * (1 - p) as b, (select least({MOST}::double, {LIFT}::double * (sum(bad) + 1) / (sum(n) + 2)) from z) as lim from h0, {_strength("h0")}),
+j as (select host, n, bad, {_BELOW} < {ERROR} as blocked from h1),
 t as (select page_id, host, path, {_RULE} as rule from w)
 select page_id, t.host, path, rule, coalesce(case rule {" ".join(f"when '{r.name}' then '{r.verdict}'" for r in RULES)} end, case when blocked then 'block' else 'allow' end) as verdict,
   n::bigint as host_labelled, bad::bigint as host_bad from t join j using (host)"""
