@@ -4,11 +4,12 @@ A token's score is the log-odds that it stands in a toxic rather than a clean te
 text score below zero. Counts are smoothed by Dirichlet priors in two levels: a token's prior is its prefix, a
 prefix's prior the whole corpus, so an inflected form that was never seen takes after its stem. A linear-time scan
 finds all maximal-scoring segments of a text. By extreme-value theory the number of chance segments of score S or more
-in n tokens is about K n exp(-lambda S): lambda solves E[exp(lambda s)] = 1 over clean tokens, and what a text holds is
-gathered as log sum exp(lambda S) - log n, which a logistic curve turns into a probability.
+in n tokens is about E = K n exp(-lambda S): lambda solves E[exp(lambda s)] = 1 over the scores of clean tokens, K comes
+from the best segments of clean texts, and what a text holds is gathered as -log E of all its segments together (S is the
+log of their summed exponentials), which a logistic curve turns into a probability.
 
-Only training rows teach: counts, lambda, K and the curve. The curve is fitted on scores that each half of them gets
-from the other half's counts.
+Only training rows teach: counts, lambda, K and the curve. Lambda, K and the curve are fitted on scores that each half of
+them gets from the other half's counts, each half with its own lambda.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ TOKENS, PREFIXES, PREFIX = 1 << 18, 1 << 16, 4
 TOKEN_PRIOR, PREFIX_PRIOR, DRIFT = 5.0, 20.0, 1.5
 #: Evidence is kept between these; bins of the calibration are a quarter wide.
 LOW, HIGH, BIN = -20.0, 60.0, 0.25
+#: Token scores are counted between minus and plus this, in bins so wide.
+SPREAD, NARROW = 20.0, 0.02
 THRESHOLD = 0.3
 #: Expected chance segments below which a passage is significant.
 SIGNIFICANT = 0.01
@@ -87,17 +90,7 @@ class Model:
         total = tokens.sum(axis=1)
         share = (total[1] + 1.0) / (total.sum() + 2.0)
         prefix_share = (prefixes[1] + PREFIX_PRIOR * share) / (prefixes.sum(axis=0) + PREFIX_PRIOR)
-        model = cls(tokens.astype(np.float32), prefix_share.astype(np.float32), float(share))
-        # lambda, from clean tokens with their own shares; a token bucket's prefix is not known, its prior is the corpus
-        s = np.log((tokens[1] + TOKEN_PRIOR * share) / (tokens[0] + TOKEN_PRIOR * (1 - share))) - math.log(share / (1 - share)) - DRIFT
-        w = tokens[0] / max(total[0], 1.0)
-        lo, hi = 1e-3, 8.0
-        if (w * np.exp(hi * s)).sum() > 1.0 and (w * s).sum() < 0:
-            for _ in range(60):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if (w * np.exp(mid * s)).sum() < 1.0 else (lo, mid)
-            model.lam = lo
-        return model
+        return cls(tokens.astype(np.float32), prefix_share.astype(np.float32), float(share))
 
     def score(self, word: str) -> float:
         t, rho = self.tokens[:, _token(word)], float(self.prefix_share[_prefix(word)])
@@ -108,6 +101,36 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, self.intercept + self.slope * evidence))))
 
 
+def solve_lambda(scores: np.ndarray, weights: np.ndarray) -> float:
+    """The positive lambda of which the mean of exp(lambda score) is 1; 1.0 where there is none, as no score or the mean is above zero."""
+    scores, w = scores[weights > 0], weights[weights > 0] / max(weights.sum(), 1e-300)
+    if not len(scores) or scores.max() <= 0 or (w * scores).sum() >= 0:
+        return 1.0
+    mean = lambda x: float((w * np.exp(x * scores)).sum())
+    lo, hi = 0.0, 1.0
+    while mean(hi) <= 1.0:
+        hi *= 2
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if mean(mid) < 1.0 else (lo, mid)
+    return hi
+
+
+def gumbel_log_k(x: np.ndarray, weights: np.ndarray, low: float) -> float:
+    """log K from lambda M - log n of the best segments M of chance texts; texts without a segment stand at low.
+
+    A quantile q of the distribution exp(-K exp(-x)) is at log K - log(-log q); the one halfway up among texts with segments is taken.
+    """
+    order = np.argsort(x)
+    x, share = x[order], np.cumsum(weights[order]) / weights.sum()
+    none = float(share[x <= low][-1]) if (x <= low).any() else 0.0
+    if none >= 1.0:
+        return 0.0
+    at = int(np.searchsorted(share, (1.0 + none) / 2))
+    q = float(share[at - 1] + share[at]) / 2 if at else float(share[at]) / 2
+    return float(x[at]) + math.log(-math.log(q))
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score), in order, in linear time (after Ruzzo and Tompa)."""
     total = np.concatenate([[0.0], np.cumsum(scores)])
@@ -132,7 +155,7 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
 
-    def segments(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
+    def scores(self, text: str) -> np.ndarray:
         words = WORDS(text.lower())
         known = self.known
         try:
@@ -144,14 +167,23 @@ class Scorer:
                 if w not in known:
                     known[w] = self.model.score(w)
             scores = [known[w] for w in words]
-        return maximal_segments(np.array(scores)), len(words)
+        return np.array(scores)
 
-    def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
+    def segments(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
+        scores = self.scores(text)
+        return maximal_segments(scores), len(scores)
+
+    def raw(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, float]:
+        """lambda S - log n of all segments together, and of the best one."""
         if not segments:
-            return LOW
+            return LOW, LOW
         x = self.model.lam * np.array([s for _, _, s in segments])
         top = float(x.max())
-        return min(HIGH, max(LOW, top + math.log(float(np.exp(x - top).sum())) - math.log(n)))
+        return tuple(min(HIGH, max(LOW, v - math.log(n))) for v in (top + math.log(float(np.exp(x - top).sum())), top))
+
+    def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
+        """-log E of a text's segments."""
+        return self.raw(segments, n)[0] - self.model.log_k
 
 
 def held_out(key: Column) -> Column:
@@ -185,15 +217,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), (fold * 2 + what) * 2 + toxic)), pa.array(at), pa.array(of[toxic][at])], ["part", "bucket", "n"])
 
 
+def _token_scores(models: list[Model]):
+    """fold, bin, n, total: how often clean tokens of a fold score so by the other fold's counts, and the sum of their scores."""
+    bins = int(2 * SPREAD / NARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers, out, total = [Scorer(m) for m in models], np.zeros((2, bins), np.int64), np.zeros((2, bins))
+        for b in batches:
+            for text, toxic, fold in zip(*b.columns, strict=True):
+                if not toxic.as_py():
+                    f = fold.as_py()
+                    scores = scorers[1 - f].scores(text.as_py())
+                    at = np.clip(np.floor((scores + SPREAD) / NARROW).astype(np.int64), 0, bins - 1)
+                    out[f] += np.bincount(at, minlength=bins)
+                    total[f] += np.bincount(at, scores, minlength=bins)
+        fold, at = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(fold), pa.array(at), pa.array(out[fold, at]), pa.array(total[fold, at])], ["fold", "bin", "n", "total"])
+
+    return run
+
+
 def _half(models: list[Model]):
+    """kind, bin: the evidence of texts (kind 0: clean, 1: toxic) and that of the best segments of clean ones (2), before K."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(m) for m in models]
         for b in batches:
-            out = []
-            for text, fold in zip(b.column(0), b.column(2), strict=True):
+            kind, out = [], []
+            for text, toxic, fold in zip(*b.columns, strict=True):
                 s = scorers[1 - fold.as_py()]
-                out.append(s.evidence(*s.segments(text.as_py())))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(np.floor((np.array(out) - LOW) / BIN).astype(np.int64))], ["toxic", "bin"])
+                whole, best = s.raw(*s.segments(text.as_py()))
+                kind.append(toxic.as_py())
+                out.append(whole)
+                if not kind[-1]:
+                    kind.append(2)
+                    out.append(best)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.floor((np.array(out) - LOW) / BIN).astype(np.int64))], ["kind", "bin"])
 
     return run
 
@@ -212,13 +271,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
         return None
     model = Model.of(tokens.sum(axis=0), prefixes.sum(axis=0))
     halves = [Model.of(tokens[f], prefixes[f]) for f in (0, 1)]
-    for m in halves:
-        m.lam = model.lam
-    bins = map_texts(train, _half(halves), "toxic int, bin long").groupBy("toxic", "bin").count().collect()
-    x = np.array([LOW + BIN * (r.bin + 0.5) for r in bins])
-    y, n = np.array([float(r.toxic) for r in bins]), np.array([float(r["count"]) for r in bins])
-    clean = (y == 0) & (x > LOW + BIN)
-    model.log_k = float(np.average(x[clean], weights=n[clean]) - 0.5772) if clean.any() else 0.0
+    spread = map_texts(train, _token_scores(halves), "fold long, bin long, n long, total double").groupBy("fold", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    fold, count, middle = np.array([r.fold for r in spread]), np.array([float(r.n) for r in spread]), np.array([r.total / r.n for r in spread])
+    for f in (0, 1):
+        halves[f].lam = solve_lambda(middle[fold != f], count[fold != f])
+    model.lam = solve_lambda(middle, count)
+    bins = map_texts(train, _half(halves), "kind int, bin long").groupBy("kind", "bin").count().collect()
+    kind = np.array([r.kind for r in bins])
+    x, n = np.array([LOW + BIN * (r.bin + 0.5) for r in bins]), np.array([float(r["count"]) for r in bins])
+    if (kind == 2).any():
+        model.log_k = gumbel_log_k(x[kind == 2], n[kind == 2], LOW + BIN)
+    x, y, n = x[kind < 2] - model.log_k, (kind[kind < 2] == 1).astype(float), n[kind < 2]
     c = float(np.average(x, weights=n))
     a, b = math.log((n @ y + 0.5) / (n @ (1 - y) + 0.5)), 0.1
     for _ in range(50):  # Newton steps of a logistic fit with a slight ridge on the slope
