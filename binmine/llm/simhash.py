@@ -285,7 +285,7 @@ def _fixed(binary: pa.Array, words: int) -> np.ndarray:
 
 
 def _banded(words: int, band: int):
-    """fp, rep, component, bucket: a row for each whole band of bits of a fingerprint."""
+    """fp, rep, component, band, bucket: a row for each whole band of bits of a fingerprint."""
     starts = range(0, 64 * words - band + 1, band)
     weights = 1 << np.arange(band, dtype=np.int64)
 
@@ -294,7 +294,8 @@ def _banded(words: int, band: int):
             bits = np.unpackbits(_fixed(b.column(0), words).view(np.uint8), axis=1, bitorder="little")
             values = np.column_stack([bits[:, at : at + band] @ weights * len(starts) + i for i, at in enumerate(starts)])
             row = pa.array(np.repeat(np.arange(b.num_rows), len(starts)))
-            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns), pa.array(values.ravel())], ["fp", "rep", "component", "bucket"])
+            at = pa.array(np.tile(np.arange(len(starts), dtype=np.int32), b.num_rows))
+            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns), at, pa.array(values.ravel())], ["fp", "rep", "component", "band", "bucket"])
 
     return run
 
@@ -312,17 +313,17 @@ def _wide(size: int, seed: int, words: int):
 HELD = 500_000
 
 
-def _wide_links(sure: int, most: int, words: int, span: bool):
-    """Links a, b of fingerprints (fp, rep, g, component) of each bucket g, between different components.
+def _wide_links(sure: int, most: int, words: int, width: int, span: bool):
+    """Links a, b of fingerprints (fp, rep, g, component, band) of each bucket g, between different components.
 
     span: links that are sure, enough to span, and of those in doubt the nearest that span what these leave apart; else all
-    that are in doubt.
+    that are in doubt, each in the first band of that width in which both agree.
     """
 
-    def links(fps: np.ndarray, group: np.ndarray, rep: np.ndarray, component: np.ndarray) -> pa.RecordBatch:
+    def links(fps: np.ndarray, group: np.ndarray, rep: np.ndarray, component: np.ndarray, band: np.ndarray) -> pa.RecordBatch:
         forest, kept, doubt = Forest(len(fps)), [], [np.zeros((0, 2), np.int64)]
-        _, first, of = np.unique(component, return_index=True, return_inverse=True)
-        forest.root = first[of]
+        _, lowest, of = np.unique(component, return_index=True, return_inverse=True)
+        forest.root = lowest[of]
 
         def spanning(pairs: list[np.ndarray]) -> np.ndarray:
             p = np.concatenate(pairs)
@@ -336,6 +337,11 @@ def _wide_links(sure: int, most: int, words: int, span: bool):
                 near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= sure
                 kept += forest.add(i[near], j[near])
                 i, j = i[~near], j[~near]
+            else:
+                differ = np.unpackbits((fps[i] ^ fps[j]).view(np.uint8), axis=1, bitorder="little")
+                count = differ.shape[1] // width
+                first = differ[:, : count * width].reshape(-1, count, width).any(axis=2).argmin(axis=1)
+                i, j = i[first == band[i]], j[first == band[i]]
             doubt.append(np.column_stack([i, j]))
             if span and sum(map(len, doubt)) > HELD:
                 doubt = [spanning(doubt)]
@@ -347,7 +353,7 @@ def _wide_links(sure: int, most: int, words: int, span: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def numbers(held: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
             t = pa.concat_batches(held)
-            return _fixed(t.column(0), words), t.column(2).to_numpy(), t.column(1).to_numpy(), t.column(3).to_numpy()
+            return _fixed(t.column(0), words), *(t.column(c).to_numpy() for c in ("g", "rep", "component", "band"))
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -394,8 +400,8 @@ def near_copies(docs: DataFrame, jaccard: float = JACCARD, size: int = WORDS_OF_
     spark = docs.sparkSession
 
     def candidates(some: DataFrame, span: bool) -> tuple[DataFrame, str]:
-        buckets = map_texts(some, _banded(words, band), "fp binary, rep long, component long, bucket long")
-        return written(_dealt(buckets, part, "component").repartition("g").sortWithinPartitions("g").mapInArrow(_wide_links(sure, most, words, span), "a long, b long, doubt boolean"), "near")
+        buckets = map_texts(some, _banded(words, band), "fp binary, rep long, component long, band int, bucket long")
+        return written(_dealt(buckets, part, "component", "band").repartition("g").sortWithinPartitions("g").mapInArrow(_wide_links(sure, most, words, band, span), "a long, b long, doubt boolean"), "near")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -403,24 +409,29 @@ def near_copies(docs: DataFrame, jaccard: float = JACCARD, size: int = WORDS_OF_
 
     def checked(pairs: DataFrame) -> tuple[DataFrame, str]:
         """a, b and whether their texts are alike."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = map_texts(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingles, "doc_id long, s binary")
+        ids, ids_path = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")  # of known size: texts move only if it is large
+        sets, sets_path = written(map_texts(rows.join(ids, "doc_id", "left_semi"), shingles, "doc_id long, s binary"), "shingles")
+        sets = sets.dropDuplicates(["doc_id"])
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-        return written(map_texts(both.select("a", "b", "x", "y"), _alike(jaccard), "a long, b long, alike boolean"), "checked")
+        out = written(map_texts(both.select("a", "b", "x", "y"), _alike(jaccard), "a long, b long, alike boolean"), "checked")
+        discard(spark, ids_path, sets_path)
+        return out
 
     # first what is sure, and of what is in doubt the nearest pairs that span: groups of near copies are whole after that
     first, first_path = candidates(classes.where("rep is not null").select("fp", "rep", F.col("rep").alias("component")), True)
-    known, known_path = checked(first.where("doubt").select("a", "b").distinct())
+    doubt, doubt_path = written(first.where("doubt").select("a", "b").distinct(), "doubt")
+    known, known_path = checked(doubt)
     links = first.where("not doubt").select("a", "b").unionByName(known.where("alike").select("a", "b"))
     parts, parts_path = written(connected_components(links).withColumnRenamed("node", "rep"), "parts")
     # a pair in doubt that is still apart and was not looked at stands, at both ends, in components that have a pair found unlike
     of_rep = classes.where("rep is not null").join(parts, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
     unlike = known.where("not alike").select(F.explode(F.array("a", "b")).alias("rep")).join(of_rep.select("rep", "component"), "rep").select("component").distinct()
     rest, rest_path = candidates(of_rep.join(unlike, "component", "left_semi").select("fp", "rep", "component"), False)
-    more, more_path = checked(rest.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+    again, again_path = written(rest.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "doubt")
+    more, more_path = checked(again)
     linked = connected_components(links.unionByName(more.where("alike").select("a", "b"))).withColumnRenamed("node", "rep")
     of_fp, _ = written(classes.join(linked, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
-    discard(spark, class_path, first_path, known_path, parts_path, rest_path, more_path)
+    discard(spark, class_path, first_path, doubt_path, known_path, parts_path, rest_path, again_path, more_path)
     return fps.join(of_fp, "fp").select("doc_id", "component_id")
 
 
