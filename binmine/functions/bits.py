@@ -26,11 +26,14 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def nearest(obs: DataFrame, reps: DataFrame, *keep: str) -> DataFrame:
-    """id, kept columns, cluster, d: the nearest of reps (cluster, v), the lowest cluster on ties; reps is a few rows."""
+    """id, kept columns, cluster, d: the nearest of reps (cluster, v), the lowest cluster on ties; reps is a few rows.
+
+    Rows meet all representatives in one array, so nothing is shuffled and repeated rows stay.
+    """
     x = obs.select("id", *keep, packed("v").alias("__x"))
-    r = reps.select("cluster", packed("v").alias("__r"))
-    best = F.min(F.struct(hamming(F.col("__x"), F.col("__r")).alias("d"), "cluster")).alias("b")
-    return x.crossJoin(F.broadcast(r)).groupBy("id", *keep).agg(best).select("id", *keep, F.col("b.cluster").alias("cluster"), F.col("b.d").alias("d"))
+    r = reps.agg(F.collect_list(F.struct("cluster", packed("v").alias("r"))).alias("__rs"))
+    best = F.array_min(F.transform("__rs", lambda m: F.struct(hamming(F.col("__x"), m["r"]).alias("d"), m["cluster"].alias("cluster"))))
+    return x.crossJoin(F.broadcast(r)).select("id", *keep, best.alias("b")).select("id", *keep, F.col("b.cluster").alias("cluster"), F.col("b.d").alias("d"))
 
 
 def seeded(seed: int, key: str = "id") -> Column:
@@ -50,17 +53,23 @@ def stratified(df: DataFrame, total: int, classes: int, seed: int, by: str = "or
     return df.withColumn("__rn", rank).where(F.col("__rn") <= F.expr(quota)).drop("__rn")
 
 
-def chunked(df: DataFrame, chunks: int, key: str = "id") -> DataFrame:
-    """A column chunk from 1: contiguous ranges of key, near-equal, larger first.
+def ranked(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
+    """A column of ranks from 1 in order of key, whose ties are ranked in any order.
 
     Ranks come from counts of key ranges and a row number inside each, so no task orders the whole table.
     """
-    n = df.count()
     # ranges are drawn from a sample: a checkpoint holds them still for the counts and the rows
     parts = checkpointed(df.repartitionByRange(key).withColumn("__p", F.spark_partition_id()))
     counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__p").orderBy(key))
+    return parts.join(F.broadcast(counts), "__p").withColumn(name, rank).drop("__p", "__before")
+
+
+def chunked(df: DataFrame, chunks: int, key: str = "id") -> DataFrame:
+    """A column chunk from 1: contiguous ranges of key, near-equal, larger first."""
+    n = df.count()
     small, extra = divmod(n, chunks)
-    r = parts.join(F.broadcast(counts), "__p").withColumn("__r", F.col("__before") + F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1)
+    r = ranked(df, key, "__r").withColumn("__r", F.col("__r") - 1)
     cut = extra * (small + 1)
     of = F.when(F.col("__r") < cut, F.floor(F.col("__r") / (small + 1))).otherwise(extra + F.floor((F.col("__r") - cut) / max(small, 1)))
-    return r.withColumn("chunk", (of + 1).cast("int")).drop("__p", "__before", "__r")
+    return r.withColumn("chunk", (of + 1).cast("int")).drop("__r")

@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from binmine.functions.bits import nearest
+from binmine.functions.bits import nearest, ranked
 from binmine.operators import merge
 
 
@@ -121,7 +120,7 @@ def first_blocks(obs: DataFrame, k: int, c: int) -> tuple[DataFrame, DataFrame]:
     """Contiguous row blocks in id order and column blocks."""
     n = obs.count()
     p = len(obs.select("v").first().v)
-    labels = obs.select("id", F.row_number().over(Window.orderBy("id")).alias("pos")).select("id", F.expr(contiguous(n, k)).alias("cluster"))
+    labels = ranked(obs.select("id"), "id", "pos").select("id", F.expr(contiguous(n, k)).alias("cluster"))
     cols = obs.sparkSession.range(1, p + 1).select(F.col("id").cast("int").alias("j"), F.col("id").alias("pos")).select("j", F.expr(contiguous(p, c)).alias("colcluster"))
     return labels, cols
 

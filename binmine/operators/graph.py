@@ -26,6 +26,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, round
         now, old = state(e), now
         if now == old:
             break
+    else:
+        if now[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
     if nodes is None:
         return found

@@ -46,11 +46,16 @@ def clarans(obs: DataFrame, k: int, numlocal: int = 2, maxneighbor: int = 20, pa
     """Medoids, labels (id, cluster) and cost. Each round costs `parallel` random single swaps in one job.
 
     The round counter starts anew after an improvement (compat: a restart ends at its first round without one). Rows to
-    swap in come from a seeded pool, so nothing but candidates reaches the driver.
+    swap in are drawn from all rows, fresh ones for some rounds at a time, so nothing but candidates reaches the driver.
     """
     spark = obs.sparkSession
     rng = np.random.default_rng(seed)
-    pool = [r.v for r in sample_rows(obs.select("id", "v"), max(50, 20 * k), seed).collect()]
+    draws = 0
+
+    def drawn(n: int) -> list:
+        nonlocal draws
+        draws += 1
+        return [r.v for r in sample_rows(obs.select("id", "v"), n, seed * 1_000_003 + draws).collect()]
 
     def costs(sets: list) -> list[int]:
         cand = spark.createDataFrame([(i, j + 1, [int(b) for b in v]) for i, s in enumerate(sets) for j, v in enumerate(s)], "cand int, cluster int, v array<tinyint>")
@@ -59,13 +64,14 @@ def clarans(obs: DataFrame, k: int, numlocal: int = 2, maxneighbor: int = 20, pa
 
     best = None
     for _ in range(numlocal):
-        now = [pool[i] for i in rng.choice(len(pool), min(k, len(pool)), replace=False)]
+        now, pool = drawn(k), []
         cost, j = costs([now])[0], 1
         while j <= maxneighbor:
             tries = []
             for _ in range(parallel):
                 t = list(now)
-                t[rng.integers(len(t))] = pool[rng.integers(len(pool))]
+                pool = pool or drawn(10 * parallel)
+                t[rng.integers(len(t))] = pool.pop()
                 tries.append(t)
             found = costs(tries)
             i = int(np.argmin(found))
@@ -80,14 +86,14 @@ def clarans(obs: DataFrame, k: int, numlocal: int = 2, maxneighbor: int = 20, pa
     return best[0], nearest(obs, _reps(obs, best[0])).select("id", "cluster"), best[1]
 
 
-def cluster_medoids(obs: DataFrame, labels: DataFrame, most: int = 1000, seed: int = 1) -> DataFrame:
-    """cluster, id of the row with the least sum of distances to (at most `most`, by hash) rows of its cluster; lowest id on ties."""
-    from pyspark.sql.window import Window
-
-    from binmine.functions.bits import seeded
+def cluster_medoids(obs: DataFrame, labels: DataFrame) -> DataFrame:
+    """cluster, id of the row with the least sum of distances to the rows of its cluster, and that sum; lowest id on ties.
 
-    x = obs.join(labels, "id").select("id", "cluster", packed("v").alias("x"))
-    some = x.withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy(seeded(seed), "id"))).where(F.col("rn") <= most)
-    a, b = some.select("cluster", "id", "x"), some.select("cluster", F.col("x").alias("y"))
-    sums = a.join(b, "cluster").groupBy("cluster", "id").agg(F.sum(hamming(F.col("x"), F.col("y"))).alias("s"))
-    return sums.groupBy("cluster").agg(F.min(F.struct("s", "id")).alias("m")).select("cluster", F.col("m.id").alias("id"), F.col("m.s").cast("long").alias("total"))
+    A row's sum is linear in its cluster's bit counts (s ones of n at a bit: n - s for a one, s for a zero), so no pairs are made.
+    """
+    x = obs.join(labels, "id").select("id", "cluster", "v")
+    ones = x.select("cluster", F.posexplode("v").alias("j", "b")).groupBy("cluster", "j").agg(F.sum("b").alias("s"), F.count(F.lit(1)).alias("n"))
+    bits = ones.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda c: c["s"]).alias("s"), F.max("n").alias("n"))
+    total = F.aggregate(F.zip_with("v", "s", lambda b, s: F.when(b == 1, F.col("n") - s).otherwise(s)), F.lit(0).cast("long"), lambda t, d: t + d)
+    sums = x.join(bits, "cluster").select("cluster", "id", total.alias("s"))
+    return sums.groupBy("cluster").agg(F.min(F.struct("s", "id")).alias("m")).select("cluster", F.col("m.id").alias("id"), F.col("m.s").alias("total"))

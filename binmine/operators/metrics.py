@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from binmine.functions.bits import ranked
+
 
 def _pairs(c: str):
     return F.expr(f"{c} * ({c} - 1) / 2")
@@ -50,8 +52,8 @@ def purity_blocks(df: DataFrame, blocks: int, result: str = "result", key: str =
     size = n / blocks if blocks else 0.0
     starts = [(i + 1, int(size * i) + 1, int(size * i) + int(size)) for i in range(min(blocks, labels))]
     spans = df.sparkSession.createDataFrame(starts, "block int, first long, last long")
-    ranked = df.select(F.col(result).alias("result"), F.row_number().over(Window.orderBy(key)).alias("rn"))
-    best = ranked.join(F.broadcast(spans), F.col("rn").between(F.col("first"), F.col("last"))).groupBy("block", "result").count().groupBy("block").agg(F.max("count").alias("most"))
+    rows = ranked(df.select(F.col(result).alias("result"), F.col(key).alias("__key")), "__key", "rn")
+    best = rows.join(F.broadcast(spans), F.col("rn").between(F.col("first"), F.col("last"))).groupBy("block", "result").count().groupBy("block").agg(F.max("count").alias("most"))
     return best.agg((F.coalesce(F.sum("most"), F.lit(0)) / F.lit(max(n, 1))).alias("purity"))
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from binmine.session import checkpointed
+
 
 def simcor(k: int, size: list[int], rho: list[float], delta: float = 0.39, epsilon: float | None = None, dims: int = 2, seed: int = 1) -> np.ndarray:
     """A correlation matrix of k blocks: rho inside, delta between, plus the products of random vectors scaled by epsilon."""
@@ -89,11 +91,11 @@ def normal_correlation(means: np.ndarray, sigma: np.ndarray, correct: bool = Tru
     return near_psd(out)
 
 
-def corrbinary(spark: SparkSession, n: int, means: list[float], sigma: np.ndarray, correct: bool = True, taken: DataFrame | None = None, seed: int = 1, per_task: int = 50_000, tries: int = 20) -> DataFrame:
+def corrbinary(spark: SparkSession, n: int, means: list[float], sigma: np.ndarray, correct: bool = True, taken: DataFrame | None = None, seed: int = 1, per_task: int = 50_000, tries: int = 1000) -> DataFrame:
     """obs of n rows with these means and (bounded) correlations; ids from 1.
 
     Rows are drawn in blocks of per_task ids, each with its own seed, so partitions do not matter. taken (v): rows that must
-    not occur; rows found there are drawn anew, a fixed number of times at most.
+    not occur; rows found there are drawn anew until there are none, and so many draws in vain are an error.
     """
     p = np.array(means)
     latent = normal_correlation(p, np.array(sigma), correct)
@@ -114,11 +116,13 @@ def corrbinary(spark: SparkSession, n: int, means: list[float], sigma: np.ndarra
     out = ids.mapInPandas(run(0), "id long, v array<tinyint>")
     if taken is not None:
         for turn in range(1, tries + 1):
-            again = out.join(taken.select("v").distinct(), "v", "left_semi").select((F.col("id") - 1).alias("id")).persist()
+            again = out.join(taken.select("v").distinct(), "v", "left_semi").select((F.col("id") - 1).alias("id"))
             if again.isEmpty():
                 break
             fresh = again.mapInPandas(run(turn), "id long, v array<tinyint>").withColumnRenamed("v", "w")
-            out = out.join(fresh, "id", "left").select("id", F.coalesce("w", "v").alias("v"))
+            out = checkpointed(out.join(fresh, "id", "left").select("id", F.coalesce("w", "v").alias("v")))
+        else:
+            raise RuntimeError(f"rows still occur among those taken after {tries} draws")
     return out
 
 

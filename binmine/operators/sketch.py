@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from binmine.functions.bits import ranked
 from binmine.functions.kernels import primes
 
 
@@ -42,7 +43,7 @@ def signatures_long(obs_long: DataFrame, coefs: list[tuple[int, int]], p: int) -
 def minhash_clusters(sigs: DataFrame) -> DataFrame:
     """id, cluster: equal signatures, numbered by their first id."""
     firsts = sigs.groupBy("sig").agg(F.min("id").alias("first"))
-    numbered = firsts.withColumn("cluster", F.row_number().over(Window.orderBy("first"))).select("sig", "cluster")
+    numbered = ranked(firsts, "first", "cluster").select("sig", "cluster")
     return sigs.join(numbered, "sig").select("id", "cluster")
 
 
@@ -78,6 +79,6 @@ def candidate_pairs(found: DataFrame) -> DataFrame:
 def eval_sample(found: DataFrame, n_rows: int, classes: int, n_sample: int, seed: int = 1) -> DataFrame:
     """The buckets of a sample that takes n_sample / classes ids from each of `classes` equal runs of id order."""
     run = F.expr(f"least({classes}, greatest(1, cast(ceil(rn * {classes}D / {n_rows}) as int)))")
-    ids = found.where("band = 1").select("id", F.row_number().over(Window.orderBy("id")).alias("rn")).withColumn("run", run)
+    ids = ranked(found.where("band = 1").select("id"), "id", "rn").withColumn("run", run)
     pick = F.row_number().over(Window.partitionBy("run").orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")).cast("binary")), "id"))
     return found.join(ids.withColumn("k", pick).where(F.col("k") <= n_sample // classes).select("id"), "id", "left_semi")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from binmine.functions.bits import chunked, seeded
+from binmine.functions.bits import seeded
 from binmine.functions.kernels import kmeans
 from binmine.operators import merge
 from binmine.session import checkpointed
@@ -92,14 +95,41 @@ def _h(a: str, n: str) -> str:
     return f"(if({a} > 0, {a} * ln({a}), 0D) + if({n} > {a}, ({n} - {a}) * ln({n} - {a}), 0D))"
 
 
+def co_occurrences(obs: DataFrame, *by: str) -> DataFrame:
+    """by (none or one column of numbers), j, side, i, a, n: of a task's n rows whose bit j is side, a have bit i too.
+
+    A task holds one bits x bits matrix for each node that it meets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, list] = {}
+        for b in batches:
+            v = b.column(b.num_columns - 1)
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
+            keys = b.column(0).to_numpy() if by else np.zeros(b.num_rows, np.int64)
+            for k in np.unique(keys).tolist():
+                some = x[keys == k]
+                c = counts.setdefault(k, [0, 0])
+                c[0], c[1] = c[0] + some.T @ some, c[1] + len(some)
+        for k, (both, n) in counts.items():
+            p, s = len(both), np.diag(both)
+            a = np.stack([s[None, :] - both, both]).astype(np.int64)  # side, j, i
+            rows = np.repeat(np.stack([n - s, s])[:, :, None], p, axis=2).astype(np.int64)
+            side, j, i = (m.ravel() for m in np.indices((2, p, p)))
+            cols = [pa.array(np.full(len(j), k))] if by else []
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(j + 1), pa.array(side), pa.array(i + 1), pa.array(a.ravel()), pa.array(rows.ravel())], [*by, "j", "side", "i", "a", "n"])
+
+    kept = [F.col(c).cast("long") for c in by]
+    out = obs.where(F.size("v") > 0).select(*kept, "v").mapInArrow(run, "".join(f"{c} long, " for c in by) + "j long, side long, i long, a long, n long")
+    return out.withColumn("j", F.col("j").cast("int"))
+
+
 def information_gain(obs: DataFrame, *by: str) -> DataFrame:
     """by, j, gain = I - I(j = 0) - I(j = 1) of every bit; a split's own bit does not count inside its branches.
 
     I = p n ln n - sum(a ln a + (n - a) ln(n - a)) over bits with a ones. Co-occurrences of all bits come from one job.
     """
-    rows = obs.select(*by, "id", F.posexplode("v").alias("j0", "b0"), "v")
-    split = rows.select(*by, (F.col("j0") + 1).alias("j"), F.col("b0").alias("side"), F.posexplode("v").alias("i0", "b")).where("i0 + 1 != j")
-    co = split.groupBy(*by, "j", "side", "i0").agg(F.sum("b").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
+    co = co_occurrences(obs, *by).where("i != j").groupBy(*by, "j", "side", "i").agg(F.sum("a").cast("double").alias("a"), F.sum("n").cast("double").alias("n"))
     branch = co.groupBy(*by, "j", "side").agg(F.expr(f"sum(if(n > 0, n * ln(n), 0D) - {_h('a', 'n')})").alias("i")).groupBy(*by, "j").agg(F.sum("i").alias("branches"))
     sup = item_support(obs, *by).select(*by, "j", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
     whole = sup.groupBy(*by).agg(F.expr(f"sum(n * ln(n) - {_h('s', 'n')})").alias("whole"))
@@ -131,7 +161,3 @@ def mona(obs: DataFrame, n_splits: int) -> DataFrame:
     rows, _ = mona_splits(obs, levels)
     leaf = rows.groupBy("node").agg(F.min("id").alias("first")).withColumn("cluster", F.row_number().over(Window.orderBy("first"))).select("node", "cluster")
     return rows.join(F.broadcast(leaf), "node").select("id", "cluster")
-
-
-def mbt_chunk_partitions(obs: DataFrame, threshold: int, chunks: int) -> DataFrame:
-    return mbt_partitions(chunked(obs.select("id", "v"), chunks), threshold, "chunk")

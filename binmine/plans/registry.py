@@ -115,7 +115,7 @@ def balanced_variable(s, d):
 
 
 def _doc_sigs(s, d):
-    return sketch.signatures_long(tables.shingles(s, d), sql.DOC_COEFS, sql.DOC_P)
+    return sketch.signatures(tables.shingle_items(s, d), sql.DOC_COEFS, sql.DOC_P)
 
 
 @query
@@ -192,7 +192,7 @@ def clarans_candidate_cost(s, d):
 @query
 def cluster_medoid(s, d):
     obs = tables.sign_bits(s, d)
-    return kmedoids.cluster_medoids(obs.select("id", "v"), obs.select("id", F.col("orig").alias("cluster")), most=1 << 30)
+    return kmedoids.cluster_medoids(obs.select("id", "v"), obs.select("id", F.col("orig").alias("cluster")))
 
 
 # ---- canopies and sorted neighbourhoods
@@ -380,10 +380,8 @@ def chunk_assign(s, d):
 
 @query
 def label_union(s, d):
-    from pyspark.sql.window import Window
-
     x = bits.chunked(_labelled(s, d).select("id", "result"), 3)
-    firsts = x.groupBy("chunk", "result").agg(F.min("id").alias("first")).withColumn("cluster", F.row_number().over(Window.orderBy("first")).cast("long"))
+    firsts = bits.ranked(x.groupBy("chunk", "result").agg(F.min("id").alias("first")), "first", "cluster")
     return x.join(F.broadcast(firsts), ["chunk", "result"]).select("id", "cluster")
 
 

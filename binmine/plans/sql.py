@@ -27,12 +27,12 @@ HAM = "list_sum(list_transform(list_zip({0}, {1}), lambda z: case when z[1] <> z
 
 
 def _sigs(src: str, coefs: list, p: int) -> str:
-    cols = ", ".join(f"min((j * {a} + {b}) % {modulus(p)} % {p + 1})::bigint" for a, b in coefs)
+    cols = ", ".join(f"coalesce(min((j * {a} + {b}) % {modulus(p)} % {p + 1}), -1)::bigint" for a, b in coefs)
     return f"sg as (select id, [{cols}] as sig from {src} group by id)"
 
 
-DOC_SIGS = f"{SHINGLES}, {_sigs('sh', DOC_COEFS, DOC_P)}"
-BIT_SIGS = f"{CELLS}, one as (select id, j from cells where b = 1), {_sigs('one', BIT_COEFS, P)}"
+DOC_SIGS = f"{SHINGLES}, si as (select d.doc_id as id, j from documents d left join sh on sh.id = d.doc_id), {_sigs('si', DOC_COEFS, DOC_P)}"
+BIT_SIGS = f"{CELLS}, one as (select o.id, c.j from obs o left join cells c on c.id = o.id and c.b = 1), {_sigs('one', BIT_COEFS, P)}"
 
 
 def _buckets(n: int, bands: int) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,10 +21,14 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df):
-    """df as a reliable checkpoint in spark.checkpoint.dir (a temporary folder, where the session has none, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="binmine-"))
-    return df.checkpoint()
+    """df as a table written below spark.checkpoint.dir and read again: lineage and size estimates end here.
+
+    Where the session has no such folder, as in tests on one machine, a temporary one is set.
+    """
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or getattr(checkpointed, "own", None)
+    if base is None:
+        base = checkpointed.own = tempfile.mkdtemp(prefix="binmine-")
+    path = f"{base.rstrip('/')}/binmine-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
