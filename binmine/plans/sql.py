@@ -149,6 +149,12 @@ ORACLE_SQL = {
     "scale_batch_features": f"with {BASKETS}, l2 as (select id, cluster * 100 + (id % 3)::int as cluster from lb), s2 as (select cluster, j, count(*)::bigint as occ from bk join l2 using (id) group by all) select cluster::int as cluster, n::bigint as n, sum(occ)::bigint as s, sum(occ * occ)::bigint as occ2 from s2 join (select cluster, count(*) as n from l2 group by all) using (cluster) group by all",
     "mbt_level_partitions": f"with {CELLS}, a as (select j from (select j, abs(2 * sum(b) - count(*)) as off from cells group by j) order by off, j limit 1), l1 as (select o.id, o.v, o.v[a.j]::varchar as part from obs o, a), c1 as (select part, id, unnest(range(1, 65)) as j, unnest(v) as b from l1), b1 as (select part, j from (select part, j, row_number() over (partition by part order by abs(2 * sum(b) - count(*)), j) as k from c1 group by part, j) where k = 1) select id, l1.part || l1.v[b1.j]::varchar as part from l1 join b1 using (part)",
     "mona_information_gain": f"with {CELLS}, r0 as (select 1 as node, id, j, b from cells), {_gain('r0', 'g0')} select j::int as j, round(gain, 6) as gain from g0",
+    "mona": f"with {CELLS}, r0 as (select 1::bigint as node, id, j, b from cells), {_gain('r0', 'g0')}, s0 as (select j from g0 order by round(gain, 9) desc, j limit 1), "
+    f"n1 as (select c.id, 2 + c.b as node from cells c join s0 on c.j = s0.j), r1 as (select n1.node, c.id, c.j, c.b from cells c join n1 using (id)), {_gain('r1', 'g1')}, "
+    "s1 as (select node, j from (select node, j, row_number() over (partition by node order by round(gain, 9) desc, j) as k from g1 where j not in (select j from s0)) where k = 1), "
+    f"n2 as (select r1.id, 2 * r1.node + r1.b as node from r1 join s1 on r1.node = s1.node and r1.j = s1.j), r2 as (select n2.node, c.id, c.j, c.b from cells c join n2 using (id)), {_gain('r2', 'g2')}, "
+    "s2 as (select node, j from (select g2.node, g2.j, row_number() over (partition by g2.node order by round(gain, 9) desc, g2.j) as k from g2 join s1 on s1.node = g2.node // 2 where g2.j <> s1.j and g2.j not in (select j from s0)) where k = 1), "
+    "n3 as (select r2.id, 2 * r2.node + r2.b as node from r2 join s2 on r2.node = s2.node and r2.j = s2.j), f as (select id, min(id) over (partition by node) as first from n3) select id, dense_rank() over (order by first)::int as cluster from f",
     "mona_splits": f"with {CELLS}, r0 as (select 1::bigint as node, id, j, b from cells), {_gain('r0', 'g0')}, s0 as (select 1::bigint as node, j from g0 order by round(gain, 9) desc, j limit 1), n1 as (select c.id, 2 + c.b as node from cells c join s0 on c.j = s0.j), r1 as (select n1.node, c.id, c.j, c.b from cells c join n1 using (id)), {_gain('r1', 'g1')}, s1 as (select node, j from (select g1.node, g1.j, row_number() over (partition by g1.node order by round(gain, 9) desc, g1.j) as k from g1 where g1.j not in (select j from s0)) where k = 1) select node::bigint as node, j::int as j from s0 union all select node::bigint, j::int from s1",
     "binmodel_patterns": f"with {PATTERNS} select cluster::int as cluster, array_to_string(v, ',') as v from pt",
     "binmodel_assign": f"with {PATTERNS}, {NEAREST.format('pt')} select id, cluster::int as cluster, d from ds where k = 1",
