@@ -54,6 +54,15 @@ ADDED = (
 KEY_BODY = re.compile(rb"-----(?:(?:(?!-----)[\s\S])*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|(?:\s*[A-Za-z0-9-]+: [^\r\n]*[\r\n])*(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*(?:\s*[A-Za-z0-9+/]+={1,2})?)")
 
 
+class _Backwards:
+    """A head's automaton from its last byte to its first, as lists; final holds the states that no byte leaves."""
+
+    def __init__(self, rule: Rule) -> None:
+        one = compile_patterns([(rule.head, rule.fold)], anchored=True, backwards=True)
+        self.columns, self.accepting, self.table = one.columns, one.accepting, one.table.tolist()
+        self.final = {s for s, to in enumerate(self.table) if s < one.accepting and set(to) == {s}}
+
+
 class Scanner:
     """spans(text): (kind index, start, end) in code points, by start, then rule."""
 
@@ -65,7 +74,7 @@ class Scanner:
         self.table = (whole.table * n).ravel().tolist()
         self.accepting = whole.accepting * n
         self.accepts = {i * n: a for i, a in enumerate(whole.accepts)}
-        self.heads = [compile_patterns([(r.head, r.fold)], anchored=True, backwards=True) if r.head else None for r in rules]
+        self.heads = [_Backwards(r) if r.head else None for r in rules]
         self.values = [{b for b in range(256) if one.table[0][one.columns[b]] >= one.accepting} for one in (compile_patterns([(r.value, False)], anchored=True) for r in rules)]
 
     def _start(self, k: int, data: bytes, value_at: int, floor: int) -> int | None:
@@ -74,13 +83,13 @@ class Scanner:
         if head is None:
             return value_at if value_at >= floor else None
         found, s, at = None, 0, value_at
-        dead = None
+        table, columns, accepting, final = head.table, head.columns, head.accepting, head.final
         while at > floor:
             at -= 1
-            s = int(head.table[s][head.columns[data[at]]])
-            if s >= head.accepting:
+            s = table[s][columns[data[at]]]
+            if s >= accepting:
                 found = at
-            elif s != dead and (head.table[s] == s).all():  # no way out
+            if s in final:
                 break
         return found
 
