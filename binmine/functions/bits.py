@@ -65,11 +65,12 @@ def ranked(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
     return parts.join(F.broadcast(counts), "__p").withColumn(name, rank).drop("__p", "__before")
 
 
-def chunked(df: DataFrame, chunks: int, key: str = "id") -> DataFrame:
-    """A column chunk from 1: contiguous ranges of key, near-equal, larger first."""
+def chunked(df: DataFrame, chunks: int, key: str = "id", rank: str | None = None) -> DataFrame:
+    """A column chunk from 1: contiguous ranges of key, near-equal, larger first; and, if named, one of ranks from 1."""
     n = df.count()
     small, extra = divmod(n, chunks)
     r = ranked(df, key, "__r").withColumn("__r", F.col("__r") - 1)
     cut = extra * (small + 1)
     of = F.when(F.col("__r") < cut, F.floor(F.col("__r") / (small + 1))).otherwise(extra + F.floor((F.col("__r") - cut) / max(small, 1)))
-    return r.withColumn("chunk", (of + 1).cast("int")).drop("__r")
+    r = r.withColumn("chunk", (of + 1).cast("int"))
+    return (r.withColumn(rank, F.col("__r") + 1) if rank else r).drop("__r")

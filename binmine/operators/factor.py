@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binmine.functions.bits import nearest, ranked
+from binmine.functions.bits import nearest, ranked, seeded
 from binmine.operators import merge
 
 
@@ -33,15 +33,15 @@ def pattern_objective(obs: DataFrame, labels: DataFrame, pats: DataFrame) -> Dat
 def binary_model(obs: DataFrame, k: int, seed: int = 1, rounds: int = GUARD) -> DataFrame:
     """id, cluster: rows go to the nearest pattern, patterns follow, while the objective falls; the last rows' places count.
 
-    An error if it still falls after so many rounds.
+    Rows start in a cluster given by a seeded hash of their id. An error if it still falls after so many rounds.
     """
-    labels = obs.select("id", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)) + 1).cast("int").alias("cluster"))
+    labels = obs.select("id", (F.conv(F.substring(seeded(seed), 1, 8), 16, 10).cast("long") % k + 1).cast("int").alias("cluster"))
     p = len(obs.select("v").first().v)
     last = None
     for _ in range(rounds):
         found = {r.cluster: r.v for r in patterns(obs, labels, k).collect()}  # k rows
         pats = obs.sparkSession.createDataFrame([(c, found.get(c, [0] * p)) for c in range(1, k + 1)], "cluster int, v array<tinyint>")
-        labels = nearest(obs, pats).select("id", "cluster").persist()
+        labels = nearest(obs, pats).select("id", "cluster")
         now = pattern_objective(obs, labels, pats).first().objective
         if last is not None and now >= last:
             break

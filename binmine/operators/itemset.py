@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from binmine.functions.bits import chunked, sample_rows, seeded
 from binmine.functions.kernels import distances, pam
 from binmine.operators import merge
+from binmine.session import checkpointed
 
 # ---- features and objectives of a given labelling: obs_long(id, j) and labels(id, cluster)
 
@@ -290,20 +291,24 @@ def scale_assign(rows: pd.DataFrame, occ: np.ndarray, n: np.ndarray, total: int)
 def _placing(occ: np.ndarray, n: np.ndarray, total: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h")
-        return pd.DataFrame({"id": pdf["id"], "cluster": scale_assign(pdf, occ, n, total) + 1})
+        return pdf.assign(old=pdf["cluster"], cluster=scale_assign(pdf, occ, n, total) + 1)
 
     return run
 
 
-def scale(obs: DataFrame, k: int, sample: int = 100, chunks: int = 2, chunk_rows: int = 500, max_iteration: int = 2, max_moved: int = 0, seed: int = 1) -> DataFrame:
-    """id, cluster. A sample is clustered around medoids, then shuffled rows come in micro-batches of chunks * chunk_rows.
+def scale(obs: DataFrame, k: int, sample: int = 100, chunks: int = 2, batches: int = 8, max_iteration: int = 2, max_moved: int = 0, seed: int = 1) -> DataFrame:
+    """id, cluster. A sample is clustered around medoids, then shuffled rows come in `batches` of `chunks` chunks each.
 
     Chunks of a batch are placed against the same features; features are updated, as Spark aggregates, after each batch,
-    and passes that take a batch out and place it again follow. Sampled rows stay where they are.
+    and up to max_iteration + 1 passes that take a batch out and place it again follow. Sampled rows stay where they are.
+    A batch is a share of the rows and a job reads its own batch only, so all jobs of a pass read the table once; batches
+    and chunks are part of the result, and a chunk must fit a task, so let chunks grow with the data.
     """
     spark = obs.sparkSession
     total = obs.count()
     first = sample_rows(obs.select("id", "v"), sample, seed).collect()
+    if not first:
+        return spark.createDataFrame([], "id long, cluster int")
     x = np.array([r.v for r in first], np.int64)
     d = distances(x)
     label = merge.dense(d[:, pam(d, k)].argmin(1))
@@ -311,32 +316,29 @@ def scale(obs: DataFrame, k: int, sample: int = 100, chunks: int = 2, chunk_rows
     n = np.bincount(label)
     seeds = spark.createDataFrame([(r.id, int(c) + 1) for r, c in zip(first, label, strict=True)], "id long, cluster int")
     rest = obs.select("id", "v").join(F.broadcast(seeds.select("id")), "id", "left_anti").withColumn("h", F.concat(seeded(seed), F.col("id").cast("string")))
-    batches = -(-(total - len(first)) // (chunks * chunk_rows)) if total > len(first) else 0
-    rows = chunked(rest, max(1, batches * chunks), key="h").withColumn("batch", F.expr(f"(chunk - 1) div {chunks}")).persist()
-    placed: dict[int, DataFrame] = {}
+    rows = chunked(rest, batches * chunks, key="h").withColumn("batch", F.expr(f"(chunk - 1) div {chunks}")).withColumn("cluster", F.lit(0)).withColumn("old", F.lit(0))
+    rows = checkpointed(rows.select("id", "v", "h", "chunk", "cluster", "old", "batch"), "batch")  # a folder for each batch
+    state = [rows.where(F.col("batch") == b).drop("batch") for b in range(batches)]
 
     def feature_sums(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         o, m = np.zeros_like(occ), np.zeros_like(n)
-        f = labels.join(rows, "id").select("cluster", F.posexplode("v").alias("j", "b")).groupBy("cluster", "j").agg(F.sum("b").alias("s"), F.count(F.lit(1)).alias("n"))
-        for r in f.collect():
+        f = labels.select("cluster", F.posexplode("v").alias("j", "b")).groupBy("cluster", "j").agg(F.sum("b").alias("s"), F.count(F.lit(1)).alias("n"))
+        for r in f.collect():  # clusters x items
             o[r.cluster - 1, r.j], m[r.cluster - 1] = r.s, r.n
         return o, m
 
-    for step in range(max_iteration + 1):
+    sums = [(np.zeros_like(occ), np.zeros_like(n))] * batches
+    for step in range(max_iteration + 2):
         moved = 0
         for b in range(batches):
+            occ, n = occ - sums[b][0], n - sums[b][1]
+            state[b] = checkpointed(state[b].groupBy("chunk").applyInPandas(_placing(occ.copy(), n.copy(), total), state[b].schema))
+            sums[b] = feature_sums(state[b])
+            occ, n = occ + sums[b][0], n + sums[b][1]
             if step:
-                o, m = feature_sums(placed[b])
-                occ, n = occ - o, n - m
-            new = rows.where(F.col("batch") == b).groupBy("chunk").applyInPandas(_placing(occ.copy(), n.copy(), total), "id long, cluster int").persist()
-            o, m = feature_sums(new)
-            occ, n = occ + o, n + m
-            if step:
-                moved += new.join(placed[b].withColumnRenamed("cluster", "old"), "id").where("cluster != old").count()
-            placed[b] = new
+                moved += state[b].where("cluster != old").count()
         if step and moved <= max_moved:
             break
-    out = seeds
-    for b in placed.values():
-        out = out.unionByName(b)
-    return out
+    for b in state:
+        seeds = seeds.unionByName(b.select("id", "cluster"))
+    return seeds

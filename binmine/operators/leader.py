@@ -52,19 +52,21 @@ def canopy_par(obs: DataFrame, t1: float, t2: float, k: int, chunks: int, seed:
     return merge.merge(merge.local_clusters(obs, chunks, canopy_kernel(t1, t2, seed)), merge.by_kmeans(k, seed))
 
 
-def neighbour_edges(obs: DataFrame, window: int, threshold: float, chunks: int = 1, order: str | None = None, seed: int = 1) -> DataFrame:
+def neighbour_edges(obs: DataFrame, window: int, threshold: float, chunks: int = 1, order: str | None = None, seed: int = 1, block: int = 10_000) -> DataFrame:
     """a, b, d: each row and its nearest predecessor among the last `window` of its chunk, if nearer than threshold.
 
-    order "popcount" sorts by ones, then id; else by seeded hash. Windows end at chunks of the order, so chunks bound both
-    a task's rows and what a pair can reach.
+    order "popcount" sorts by ones, then id; else by seeded hash. Windows end at chunks of the order, which are part of
+    the result. block is not: rows are dealt to tasks in blocks of the order, each with the last `window` rows of the one before.
     """
     key = F.concat(F.lpad(popcount("v").cast("string"), 9, "0"), F.lit("-"), F.lpad(F.col("id").cast("string"), 19, "0")) if order == "popcount" else F.concat(seeded(seed), F.lit("-"), F.lpad(F.col("id").cast("string"), 19, "0"))
     p = F.size("v")
-    rows = chunked(obs.select("id", packed("v").alias("x"), p.alias("p"), key.alias("k")), chunks, key="k").withColumn("rn", F.row_number().over(Window.partitionBy("chunk").orderBy("k")))
-    frame = Window.partitionBy("chunk").orderBy("rn").rowsBetween(-window, -1)
-    before = F.collect_list(F.struct("rn", "id", "x")).over(frame)
+    size = max(block, window)
+    rows = chunked(obs.select("id", packed("v").alias("x"), p.alias("p"), key.alias("k")), chunks, key="k", rank="rn").drop("k").withColumn("home", F.expr(f"(rn - 1) div {size}"))
+    dealt = rows.withColumn("at", F.explode(F.when(F.expr(f"(rn - 1) % {size} >= {size - window}"), F.array("home", F.col("home") + 1)).otherwise(F.array("home"))))
+    frame = Window.partitionBy("at").orderBy("rn").rowsBetween(-window, -1)
+    before = F.filter(F.collect_list(F.struct("chunk", "rn", "id", "x")).over(frame), lambda b: b["chunk"] == F.col("chunk"))
     near = F.array_min(F.transform("before", lambda b: F.struct(hamming(F.col("x"), b["x"]).alias("d"), b["rn"].alias("rn"), b["id"].alias("id"))))
-    return rows.withColumn("before", before).where(F.size("before") > 0).select("id", "p", near.alias("n")).where(F.col("n.d") < threshold * F.col("p")).select(F.col("id").alias("a"), F.col("n.id").alias("b"), F.col("n.d").alias("d"))
+    return dealt.withColumn("before", before).where("at = home and size(before) > 0").select("id", "p", near.alias("n")).where(F.col("n.d") < threshold * F.col("p")).select(F.col("id").alias("a"), F.col("n.id").alias("b"), F.col("n.d").alias("d"))
 
 
 def default_threshold(obs: DataFrame, seed: int = 1) -> float:

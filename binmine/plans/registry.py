@@ -13,7 +13,7 @@ from binmine.sources import tables
 QUERIES: dict = {}
 ORACLE_SQL = sql.ORACLE_SQL
 
-P, CLASSES = sql.P, sql.CLASSES
+P, CLASSES, MINSUP = sql.P, sql.CLASSES, sql.MINSUP
 
 
 def query(f):
@@ -421,6 +421,11 @@ def sorted_neighborhood(s, d):
     return leader.sorted_neighborhood(_obs(s, d))
 
 
+@query
+def sorted_neighborhood_near(s, d):
+    return leader.sorted_neighborhood(_obs(s, d), threshold=0.36)
+
+
 @query
 def clope(s, d):
     return itemset.clope(_obs(s, d), 2.0, 4)
@@ -433,7 +438,22 @@ def largeitem(s, d):
 
 @query
 def scale(s, d):
-    return itemset.scale(_obs(s, d), CLASSES, sample=100, chunks=2, chunk_rows=100, max_iteration=1)
+    return itemset.scale(_obs(s, d), CLASSES, chunks=2, batches=5)
+
+
+@query
+def clope_baskets(s, d):
+    return itemset.clope(_basket_obs(s, d), 2.0, 8)
+
+
+@query
+def largeitem_baskets(s, d):
+    return itemset.largeitem(_basket_obs(s, d), 1.0, MINSUP, 8)
+
+
+@query
+def scale_baskets(s, d):
+    return itemset.scale(_basket_obs(s, d), CLASSES, chunks=8, batches=4)
 
 
 @query
@@ -441,6 +461,11 @@ def mbt(s, d):
     return trees.mbt(_obs(s, d), 50, CLASSES)
 
 
+@query
+def mbt_parts(s, d):
+    return trees.mbt_partitions(_obs(s, d), 50).select("id", "part")
+
+
 @query
 def mbt_par(s, d):
     return trees.mbt_par(_obs(s, d), 20, CLASSES, 4)

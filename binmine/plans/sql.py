@@ -110,6 +110,64 @@ BLOCK = (
 )
 PATTERNS = CELLS + f", pt as (select orig as cluster, list(bit order by j) as v from (select orig, j, case when sum(b) * {CLASSES} > count(*) then 1 else 0 end as bit from cells group by all) group by orig)"
 
+#: Rows left before each centre, which is the first of them in seeded order; a row's canopy is the one that takes it, the last it meets.
+CANOPY = (
+    f"with recursive {OBS}, st(k, id, v, h) as (select 1, id, v, md5('1-' || id) from obs union all "
+    f"select k + 1, id, v, h from (select st.*, {HAM.format('st.v', 'c.v')} as d from st, (select arg_min(v, h) as v from st) c) where d >= 0.4 * 64) "
+    "select id, max(k)::int as cluster from st group by id"
+)
+
+
+def _neighbourhood(seed: int) -> str:
+    """Links nb{seed} (a, b) to the nearest of the 30 rows before, in seeded order, below the threshold in tr."""
+    d = HAM.format("a.v", "b.v")
+    return (
+        f"o{seed} as (select id, v, row_number() over (order by md5('{seed}-' || id), id) as rn from obs), "
+        f"c{seed} as (select b.id as a, a.id as b, {d} as d, row_number() over (partition by b.id order by {d}, a.rn) as k from o{seed} a join o{seed} b on a.rn between b.rn - 30 and b.rn - 1), "
+        f"nb{seed} as (select a, b from c{seed}, tr where k = 1 and d < t * 64)"
+    )
+
+
+def _neighbourhoods(t: str) -> str:
+    return (
+        f"with recursive {OBS}, sm as (select v from obs order by md5('1-' || id), id limit 100), tr as ({t}), "
+        + ", ".join(_neighbourhood(r) for r in (1, 2, 3))
+        + ", un as (select a, b from nb1 union select a, b from nb2 union select a, b from nb3), ed as (select a, b from un union select b, a from un), "
+        "up(id, top) as (select id, id from obs union select up.id, ed.b from up join ed on ed.a = up.top) select id, min(top) as cluster from up group by id"
+    )
+
+
+#: Every level's parts; a part that is split has rows on the next level, so a row's part is that of its last level.
+MBT = (
+    f"with recursive {OBS}, st(level, id, v, part) as (select 0, id, v, '' from obs union all select level + 1, st.id, st.v, st.part || st.v[p.j]::varchar from st join ("
+    "select part, j from (select part, j, abs(2 * sum(b) - count(*)) as off, count(*) as n, any_value(level) as level, row_number() over (partition by part order by abs(2 * sum(b) - count(*)), j) as k "
+    "from (select level, part, unnest(range(1, 65)) as j, unnest(v) as b from st) group by part, j) where k = 1 and off < n and (n > 50 or level < 2)) p on p.part = st.part) "
+    "select id, arg_max(part, level) as part from st group by id"
+)
+
+#: Rows' clusters after each round; a round follows while the objective falls, and the last one counts.
+BINMODEL = (
+    f"with recursive {OBS}, ks as (select unnest(range(1, {CLASSES + 1})) as cluster), "
+    f"st(r, id, v, cluster, now, last) as (select 0, id, v, (('0x' || substr(md5('1-' || id), 1, 8))::bigint % {CLASSES} + 1)::int, 1::bigint << 40, 1::bigint << 41 from obs union all "
+    f"select r + 1, id, v, (best % 1000)::int, sum(best // 1000) over ()::bigint, now from (select st.r, st.id, any_value(st.v) as v, any_value(st.now) as now, min({HAM.format('st.v', 'p.v')}::bigint * 1000 + p.cluster) as best from st, ("
+    "select cluster, coalesce(v, list_transform(range(64), lambda x: 0)) as v from ks left join (select cluster, list(bit order by j) as v from ("
+    f"select cluster, j, case when sum(b) * {CLASSES} > count(*) then 1 else 0 end as bit from (select cluster, unnest(range(1, 65)) as j, unnest(v) as b from st) group by cluster, j) group by cluster) using (cluster)) p "
+    "where st.now < st.last group by st.r, st.id)) select id, cluster from st where r = (select max(r) from st)"
+)
+
+#: Blocks of rows and columns after each round; the last round whose objective is lower counts.
+BLOCKMODEL = (
+    f"with recursive {CELLS}, rw as (select id, case when pos <= n // 5 then 1 when pos <= n * 2 // 5 then 2 when pos <= n * 3 // 5 then 3 when pos <= n * 4 // 5 then 4 else 5 end as rc from (select id, row_number() over (order by id) as pos, count(*) over () as n from obs)), "
+    "st(r, id, j, b, rc, cc, now, last) as (select 0, id, j, b, rc::int, ((j - 1) // 16 + 1)::int, 1e300::double, 'inf'::double from cells join rw using (id) union all ("
+    "with go as (select * from st where now < last - 1e-12), mn as (select rc, cc, case when sum(b) = 0 then 1e-8 else sum(b)::double / count(*) end as mean from go group by all), "
+    "nr as (select id, arg_min(rc, (round(c, 9), rc)) as rc from (select id, mn.rc, sum(s * (1 - 2 * mean) + m * mean * mean) as c from (select id, cc, sum(b) as s, count(*) as m from go group by all) join mn using (cc) group by all) group by id), "
+    "nc as (select j, arg_min(cc, (round(c, 9), cc)) as cc from (select j, mn.cc, sum(s * (1 - 2 * mean) + m * mean * mean) as c from (select go.j, nr.rc, sum(b) as s, count(*) as m from go join nr using (id) group by all) join mn using (rc) group by all) group by j), "
+    "nw as (select go.r, go.id, go.j, go.b, nr.rc, nc.cc, go.now from go join nr using (id) join nc using (j)), "
+    "nm as (select rc, cc, case when sum(b) = 0 then 1e-8 else sum(b)::double / count(*) end as mean from nw group by all) "
+    "select r + 1, id, j, b, rc, cc, sqrt(sum(b * (1 - 2 * mean) + mean * mean) over ()), now from nw join nm using (rc, cc))) "
+    "select distinct id, rc as cluster from st where r = (select max(r) from st where now < last - 1e-12)"
+)
+
 ORACLE_SQL = {
     "pair_metrics": _f1("ones * (ones - 1) / 2"),
     "pair_metrics_exact": _f1("0"),
@@ -133,6 +191,12 @@ ORACLE_SQL = {
     "clarans_candidate_cost": f"with {REPS} select cand::int as cand, sum(d)::bigint as cost from (select o.id, cand, min({HAM.format('o.v', 'r.v')}) as d from obs o, rp r where cand <= 5 group by all) group by cand",
     "cluster_medoid": f"with {OBS}, s as (select a.orig as cluster, a.id, sum({HAM.format('a.v', 'b.v')})::bigint as total from obs a join obs b using (orig) group by all) select cluster::int as cluster, id, total from (select *, row_number() over (partition by cluster order by total, id) as k from s) where k = 1",
     "canopy_first_pass": f"with {OBS}, c as (select v from obs order by md5('1-' || id), id limit 1) select id, d from (select o.id, {HAM.format('o.v', 'c.v')} as d from obs o, c) where d < 0.45 * 64",
+    "canopy": CANOPY,
+    "sorted_neighborhood": _neighbourhoods(f"select avg({HAM.format('a.v', 'b.v')} / 64.0::double) as t from sm a, sm b"),
+    "sorted_neighborhood_near": _neighbourhoods("select 0.36::double as t"),
+    "mbt_parts": MBT,
+    "binmodel": BINMODEL,
+    "blockmodel": BLOCKMODEL,
     "sn_edges": f"with {SORTED} select a, b, d from nb where k = 1 and d < 0.45 * 64",
     "sn_clusters": f"with recursive {SORTED}, e as (select a, b from nb where k = 1 and d < 0.42 * 64), up(id, top) as (select id, id from obs union select up.id, e.b from up join e on e.a = up.top), rt as (select id, top from up where top not in (select a from e)) select id, min(id) over (partition by top) as cluster from rt",
     "clope_features": f"with {BASKETS} select cluster, n, s, w, occ2 from ft",

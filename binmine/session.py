@@ -20,15 +20,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df):
+def checkpointed(df, *by: str):
     """df as a table written below spark.checkpoint.dir and read again: lineage and size estimates end here.
 
-    Where the session has no such folder, as in tests on one machine, a temporary one is set.
+    by names columns to lay the table out by. Where a session on one machine has no such folder a temporary one is set;
+    on a cluster that is an error, as executors do not share local folders.
     """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or getattr(checkpointed, "own", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = checkpointed.own = tempfile.mkdtemp(prefix="binmine-")
     path = f"{base.rstrip('/')}/binmine-table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
