@@ -80,15 +80,41 @@ def contiguous(n: int, k: int) -> str:
     return "case " + " ".join(f"when pos <= {n * i // k} then {i}" for i in range(1, k)) + f" else {k} end"
 
 
+def _column_sums(rows: DataFrame) -> DataFrame:
+    """rowcluster, j, s (ones), n (rows): a row for each row block and column; all that later steps need of the rows."""
+    return rows.select(F.col("cluster").alias("rowcluster"), F.posexplode("v").alias("j0", "b")).groupBy("rowcluster", (F.col("j0") + 1).alias("j")).agg(F.sum("b").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
 def block_means(obs: DataFrame, labels: DataFrame, columns: DataFrame) -> DataFrame:
     """rowcluster, colcluster, mean, n; columns: j, colcluster (few). Zero means get a guard of 1e-8."""
-    cells = obs.join(labels, "id").select(F.col("cluster").alias("rowcluster"), F.posexplode("v").alias("j0", "b")).groupBy("rowcluster", (F.col("j0") + 1).alias("j")).agg(F.sum("b").alias("s"), F.count(F.lit(1)).alias("n"))
-    m = cells.join(F.broadcast(columns), "j").groupBy("rowcluster", "colcluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return _means(_column_sums(obs.join(labels, "id")), columns)
+
+
+def _means(sums: DataFrame, columns: DataFrame) -> DataFrame:
+    m = sums.join(F.broadcast(columns), "j").groupBy("rowcluster", "colcluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     return m.select("rowcluster", "colcluster", F.expr("if(s = 0, 1e-8D, s / n)").alias("mean"), "n")
 
 
-def _row_sums(obs: DataFrame, columns: DataFrame) -> DataFrame:
-    return obs.select("id", F.posexplode("v").alias("j0", "b")).select("id", (F.col("j0") + 1).alias("j"), "b").join(F.broadcast(columns), "j").groupBy("id", "colcluster").agg(F.sum("b").alias("s"), F.count(F.lit(1)).alias("m"))
+def _with_costs(obs: DataFrame, columns: DataFrame, means: DataFrame) -> DataFrame:
+    """obs and __costs, an array of (c, rowcluster): each row block's squared difference, rounded, from the row's sums over column blocks.
+
+    Both small tables come as one row, so rows are neither exploded nor shuffled.
+    """
+    blocks = columns.groupBy("colcluster").agg(F.collect_list("j").alias("js"))
+    per = means.join(blocks, "colcluster").groupBy("rowcluster").agg(F.collect_list(F.struct("mean", "js")).alias("cells"))
+    one = per.agg(F.collect_list(F.struct("rowcluster", "cells")).alias("__blocks"))
+    ones = lambda c: F.aggregate(c["js"], F.lit(0), lambda a, j: a + F.get("v", j - 1).cast("int"))
+    cell = lambda c: ones(c) * (1 - 2 * c["mean"]) + F.size(c["js"]) * c["mean"] * c["mean"]
+    cost = lambda r: F.aggregate(F.transform(r["cells"], cell), F.lit(0.0), lambda a, x: a + x)
+    return obs.crossJoin(F.broadcast(one)).withColumn("__costs", F.transform("__blocks", lambda r: F.struct(cost(r).alias("c"), r["rowcluster"].alias("rowcluster")))).drop("__blocks")
+
+
+def _placed(obs: DataFrame, columns: DataFrame, means: DataFrame, variant: str) -> DataFrame:
+    """id, v, cluster (the block of least difference, the lowest on ties)."""
+    if variant == "reference":
+        columns = columns.where(F.col("colcluster") == columns.agg(F.max("colcluster")).first()[0])
+    best = F.array_min(F.transform("__costs", lambda x: F.struct(F.round(x["c"], 9).alias("c"), x["rowcluster"].alias("rowcluster"))))
+    return _with_costs(obs.select("id", "v"), columns, means).select("id", "v", best["rowcluster"].alias("cluster"))
 
 
 def block_rows(obs: DataFrame, columns: DataFrame, means: DataFrame, variant: str = "full") -> DataFrame:
@@ -96,24 +122,26 @@ def block_rows(obs: DataFrame, columns: DataFrame, means: DataFrame, variant: st
 
     Variant "reference" lets only the last column block count.
     """
-    sums = _row_sums(obs, columns)
-    if variant == "reference":
-        sums = sums.where(F.col("colcluster") == columns.agg(F.max("colcluster")).first()[0])
-    cost = sums.join(F.broadcast(means.select("rowcluster", "colcluster", "mean")), "colcluster").groupBy("id", "rowcluster").agg(F.sum(F.expr("s * (1 - 2 * mean) + m * mean * mean")).alias("c"))
-    return cost.groupBy("id").agg(F.min(F.struct(F.round("c", 9).alias("c"), "rowcluster")).alias("m")).select("id", F.col("m.rowcluster").alias("cluster"))
+    return _placed(obs, columns, means, variant).select("id", "cluster")
 
 
 def block_columns(obs: DataFrame, labels: DataFrame, means: DataFrame) -> DataFrame:
     """j, colcluster of least squared difference, from each column's sums over row blocks."""
-    cells = obs.join(labels, "id").select(F.col("cluster").alias("rowcluster"), F.posexplode("v").alias("j0", "b")).groupBy("rowcluster", (F.col("j0") + 1).alias("j")).agg(F.sum("b").alias("s"), F.count(F.lit(1)).alias("n"))
-    cost = cells.join(F.broadcast(means.select("rowcluster", "colcluster", "mean")), "rowcluster").groupBy("j", "colcluster").agg(F.sum(F.expr("s * (1 - 2 * mean) + n * mean * mean")).alias("c"))
+    return _columns(_column_sums(obs.join(labels, "id")), means)
+
+
+def _columns(sums: DataFrame, means: DataFrame) -> DataFrame:
+    cost = sums.join(F.broadcast(means.select("rowcluster", "colcluster", "mean")), "rowcluster").groupBy("j", "colcluster").agg(F.sum(F.expr("s * (1 - 2 * mean) + n * mean * mean")).alias("c"))
     return cost.groupBy("j").agg(F.min(F.struct(F.round("c", 9).alias("c"), "colcluster")).alias("m")).select("j", F.col("m.colcluster").alias("colcluster"))
 
 
 def block_objective(obs: DataFrame, labels: DataFrame, columns: DataFrame, means: DataFrame) -> DataFrame:
     """objective: the Frobenius norm of the data less its block means."""
-    sums = _row_sums(obs, columns).join(labels, "id").select(F.col("cluster").alias("rowcluster"), "colcluster", "s", "m")
-    return sums.join(F.broadcast(means), ["rowcluster", "colcluster"]).agg(F.expr("sqrt(sum(s * (1 - 2 * mean) + m * mean * mean))").alias("objective"))
+    return _objective(_column_sums(obs.join(labels, "id")), columns, means)
+
+
+def _objective(sums: DataFrame, columns: DataFrame, means: DataFrame) -> DataFrame:
+    return sums.join(F.broadcast(columns), "j").join(F.broadcast(means.drop("n")), ["rowcluster", "colcluster"]).agg(F.expr("sqrt(sum(s * (1 - 2 * mean) + n * mean * mean))").alias("objective"))
 
 
 def first_blocks(obs: DataFrame, k: int, c: int) -> tuple[DataFrame, DataFrame]:
@@ -138,13 +166,14 @@ def block_model(obs: DataFrame, k: int, c: int, rounds: int = GUARD, variant: st
     labels, cols = first_blocks(obs, k, c)
     means, last = _small(block_means(obs, labels, cols)), None
     for _ in range(rounds):
-        new = block_rows(obs, cols, means, variant)
-        new_cols = _small(block_columns(obs, new, means))
-        new_means = _small(block_means(obs, new, new_cols))
-        now = block_objective(obs, new, new_cols, new_means).first().objective
+        new = _placed(obs, cols, means, variant)
+        sums = _small(_column_sums(new))  # the round's one pass over the rows
+        new_cols = _small(_columns(sums, means))
+        new_means = _small(_means(sums, new_cols))
+        now = _objective(sums, new_cols, new_means).first().objective
         if last is not None and now >= last - 1e-12:
             break
-        labels, cols, means, last = new, new_cols, new_means, now
+        labels, cols, means, last = new.select("id", "cluster"), new_cols, new_means, now
     else:
         raise _unsettled(rounds)
     return labels, cols
