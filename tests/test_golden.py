@@ -268,7 +268,7 @@ def blocks(spark, n=120, k=3, p=24):
         ("canopy_par", lambda o: leader.canopy_par(o, 0.3, 0.3, 3, 2)),
         ("sorted", lambda o: leader.sorted_neighborhood(o, 20, 0.25, 2, True)),
         ("clope", lambda o: itemset.clope(o, 2.0, 2)),
-        ("scale", lambda o: itemset.scale(o, 3, 30, 2, 30, 1)),
+        ("scale", lambda o: itemset.scale(o, 3, 30, 2, 2, 1)),
         ("mbt_par", lambda o: trees.mbt_par(o, 20, 3, 2)),
         ("mona", lambda o: trees.mona(o, 3)),
         ("binary_par", lambda o: factor.binary_model_par(o, 3, 2)),
