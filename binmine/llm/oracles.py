@@ -94,6 +94,24 @@ g as (select *, row_number() over (order by (r - 1 + u) / n, src, h, doc_id, tex
 s as (select *, (g * 40) // a as sh from g)
 select doc_id, source, size, text_crc32, 'rows' as law, sh::int as shard, (g - (sh * a + 39) // 40)::bigint as slot, null::int as grown_shard from s"""
 
+_CRC_TABLE = "tb as (select list(c order by n) as t from (select n, list_reduce(list_prepend(n, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) as c from (select unnest(range(256))::bigint as n)))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen({0})), lambda i: ascii(substr({0}, i + 1, 1))::bigint)), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295)"
+OP11 = f"""with {_CRC_TABLE},
+o as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i from conversations where conv_id is not null),
+l as (select c, count(*) as n from o group by c),
+h as (select c, c - c % 20 as src, {_CRC.format("c::varchar")} % 4 as h from l, tb),
+k as (select h.c, src, h, least(h, coalesce(n, 0)) as k from h left join l on l.c = src),
+b as (select k.c, i as d, r, x from k join o on o.c = src and i <= h union all select k.c, i - h + k as d, r, x from k join o on o.c = k.c and i > h),
+q as (select c, d, x, string_agg(md5(length(r) || ':' || r || x), '') over (partition by c order by d) as p from b),
+m as (select p, d, c, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as w from q union all select '', 0, c, 0 from l),
+e as (select p, d, string_agg(c::varchar, ',' order by c) as ids from m anti join q on q.c = m.c and q.d > m.d group by p, d),
+n as (select p, d, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(w) as saves from m group by p, d),
+f as (select substr(p, 1, 32 * (d - 1)) as p, d - 1 as d, count(*) as n_children from n where d > 0 group by all),
+g as (select n.*, coalesce(n_children, 0) as n_children from n left join f using (p, d)),
+s as (select substr(p, 1, 32 * a) as p, a as d, count(*) filter (n_children = 0) as n_leaves, sum(saves) as saved from (select *, unnest(range(d + 1)) as a from g) group by 1, 2)
+select g.conv_id, g.d as depth, u.conv_id as parent_conv_id, g.n_convs, g.n_children, n_leaves, saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from g join s using (p, d) left join e using (p, d) left join n u on u.p = substr(g.p, 1, 32 * (g.d - 1)) and u.d = g.d - 1"""
+
 ORACLE_SQL = {
     "op2_grid_order": OP2,
     "op3_warc_revisits": OP3,
@@ -101,4 +119,5 @@ ORACLE_SQL = {
     "op6_url_reputation": OP6,
     "op7_chat_format": OP7,
     "op10_interleave": OP10,
+    "op11_prefix_trie": OP11,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, secrets, sharding, simhash, toxicity, url_filter, vector_join, warc
+from . import chat, decontaminate, packing, secrets, sharding, simhash, toxicity, trie, url_filter, vector_join, warc
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -18,5 +18,5 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_toxic_segments": toxicity.op9_toxic_segments,
     "op10_interleave": sharding.op10_interleave,
+    "op11_prefix_trie": trie.op11_prefix_trie,
 }
-
