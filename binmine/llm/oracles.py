@@ -112,6 +112,21 @@ s as (select substr(p, 1, 32 * a) as p, a as d, count(*) filter (n_children = 0)
 select g.conv_id, g.d as depth, u.conv_id as parent_conv_id, g.n_convs, g.n_children, n_leaves, saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
 from g join s using (p, d) left join e using (p, d) left join n u on u.p = substr(g.p, 1, 32 * (g.d - 1)) and u.d = g.d - 1"""
 
+OP12 = f"""with {_CRC_TABLE},
+d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w, {_CRC.format("doc_id::varchar")} as h from documents, tb),
+e as (select *, len(w) as n, h // 10 as g, case when len(w) > 0 then (h // 10) % len(w) end as a from d),
+f as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end + 1]) else w end as w from e),
+o as (select doc_id, n, unnest(range(n)) as i, unnest(w) as w from f),
+p as (select x.doc_id, x.i, y.i - x.i as q from o x join o y on x.doc_id = y.doc_id and x.w = y.w and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+s as (select doc_id, q, i - row_number() over (partition by doc_id, q order by i) as k, i from p),
+m as (select doc_id, min(i) as start, count(*) + q as length, q as period from s group by doc_id, q, k having count(*) + q >= greatest(24, 3 * q)),
+r as (select doc_id, start, length, min(period) as period from m group by doc_id, start, length),
+k as (select doc_id, string_agg(w, ' ' order by i) as c from (select * from o where not exists (select 1 from r where r.doc_id = o.doc_id and o.i >= r.start + r.period and o.i < r.start + r.length)) group by doc_id),
+b as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as t from r group by doc_id),
+t as (select * from r qualify row_number() over (partition by doc_id order by length::double / period desc, start, period) = 1)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, t.start::bigint as start, t.length::bigint as length, t.period::bigint as period, (1000 * t.length // t.period)::bigint as exponent_milli,
+  sha256(coalesce(b.t, '')) as runs_sha256, sha256(coalesce(c, '')) as collapsed_sha256 from f left join b using (doc_id) left join t using (doc_id) left join k using (doc_id)"""
+
 ORACLE_SQL = {
     "op2_grid_order": OP2,
     "op3_warc_revisits": OP3,
@@ -120,4 +135,5 @@ ORACLE_SQL = {
     "op7_chat_format": OP7,
     "op10_interleave": OP10,
     "op11_prefix_trie": OP11,
+    "op12_periodic_runs": OP12,
 }
