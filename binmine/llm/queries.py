@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, periodic, secrets, sharding, simhash, toxicity, trie, url_filter, vector_join, warc
+from . import chat, decontaminate, language, packing, periodic, secrets, sharding, simhash, toxicity, trie, url_filter, vector_join, warc
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -20,4 +20,5 @@ QUERIES = {
     "op10_interleave": sharding.op10_interleave,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_language_id": language.op13_language_id,
 }
