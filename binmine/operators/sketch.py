@@ -34,10 +34,14 @@ def signatures(items: DataFrame, coefs: list[tuple[int, int]], p: int, *keep: st
 
 
 def signatures_long(obs_long: DataFrame, coefs: list[tuple[int, int]], p: int) -> DataFrame:
-    """The same from id, j: minima are pre-aggregated, so no row holds all of an observation's items."""
+    """The same from id, j (null for none), in one row for each id.
+
+    Minima are plain columns, aggregated where an id's items are read, so no row holds all of them and one narrow row
+    for each id is shuffled.
+    """
     big, m = modulus(p), p + 1
     mins = [F.min((F.col("j").cast("long") * a + b) % big % m).alias(f"h{i}") for i, (a, b) in enumerate(coefs)]
-    return obs_long.groupBy("id").agg(*mins).select("id", F.array(*(f"h{i}" for i in range(len(coefs)))).alias("sig"))
+    return obs_long.groupBy("id").agg(*mins).select("id", F.array(*(F.coalesce(F.col(f"h{i}"), F.lit(-1).cast("long")) for i in range(len(coefs)))).alias("sig"))
 
 
 def minhash_clusters(sigs: DataFrame) -> DataFrame:
@@ -64,16 +68,46 @@ def buckets(sigs: DataFrame, n_hash: int, bands: int) -> DataFrame:
     return sigs.select(F.posexplode(F.array(*parts)).alias("band0", "h"), "id").select((F.col("band0") + 1).alias("band"), "h", "id")
 
 
-def candidate_pairs(found: DataFrame) -> DataFrame:
-    """Distinct id1 < id2 that share a bucket.
+#: Ids of a bucket's part: larger buckets are split into parts that meet two by two.
+PART = 4096
+
+
+def _met(rows: DataFrame, part: int) -> DataFrame:
+    """rows (k1, k2: the bucket, id, more) twice, suffixed 1 and 2, for id1 < id2 in a bucket, each pair of a bucket once.
+
+    A bucket over part ids is split by a hash of the id; every two parts are a cell of their own, so no key holds more
+    than two parts however large its bucket. Buckets of one id meet nothing and go before the join.
+    """
+    full = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", F.expr(f"cast((n + {part - 1}) div {part} as int)").alias("parts"))
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts").cast("long")).cast("int")
+    dealt = rows.join(full, ["k1", "k2"]).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("c1", F.least("own", "with")).withColumn("c2", F.greatest("own", "with"))
+    keys, more = ["k1", "k2", "c1", "c2"], [c for c in rows.columns if c not in ("k1", "k2")]
+    # cells are small but their pairs are many: dealt to all tasks once, for both sides, by number of rows rather than bytes
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    a, b = (dealt.select(*keys, *(F.col(c).alias(f"{c}{n}") for c in [*more, "own"])) for n in (1, 2))
+    return a.join(b, keys).where("id1 < id2 and (own1 != own2 or c1 = c2)")
+
+
+def signature_pairs(sigs: DataFrame, n_hash: int, bands: int, part: int = PART) -> DataFrame:
+    """id1 < id2 whose signatures (id, sig; an id once) agree in a whole band, each pair once.
 
-    Buckets of one id are dropped before the join. The pairs of a bucket are what this operator is for; large buckets
-    are joined, never gathered, and a skewed join can be split.
+    A pair belongs to the first band in which it agrees, so pairs need no distinct.
     """
-    full = found.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h")
-    some = found.join(full, ["band", "h"], "left_semi")
-    a, b = some.select("band", "h", F.col("id").alias("id1")), some.select("band", "h", F.col("id").alias("id2"))
-    return a.join(b, ["band", "h"]).where("id1 < id2").select("id1", "id2").distinct()
+    sizes = band_sizes(n_hash, bands)
+    ends = [sum(sizes[: b + 1]) for b in range(bands)]
+    spans = [range(e - n, e) for e, n in zip(ends, sizes, strict=True)]
+    key = F.array(*(F.xxhash64(*(F.col("sig")[i] for i in span)) for span in spans))
+    rows = sigs.select("id", F.transform("sig", lambda x: x.cast("int")).alias("sig"), F.posexplode(key).alias("k1", "k2")).select("k1", "k2", "id", "sig")
+    agree = [" and ".join(f"sig1[{i}] = sig2[{i}]" for i in span) for span in spans]
+    first = "case k1 " + " ".join(f"when {b} then {' and '.join([f'({agree[b]})', *(f'not ({x})' for x in agree[:b])])}" for b in range(bands)) + " end"
+    return _met(rows, part).where(first).select("id1", "id2")
+
+
+def candidate_pairs(found: DataFrame, part: int = PART) -> DataFrame:
+    """Distinct id1 < id2 that share a bucket of found (band, h, id). The pairs of a bucket are what this operator is for."""
+    rows = found.select(F.col("band").alias("k1"), F.col("h").alias("k2"), "id").distinct()
+    return _met(rows, part).select("id1", "id2").distinct()
 
 
 def eval_sample(found: DataFrame, n_rows: int, classes: int, n_sample: int, seed: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from binmine.functions import bits
 from binmine.operators import bubble, factor, itemset, kmedoids, leader, metrics, simulate, sketch, trees, tune
 from binmine.plans import sql
+from binmine.session import checkpointed
 from binmine.sources import tables
 
 QUERIES: dict = {}
@@ -115,7 +116,7 @@ def balanced_variable(s, d):
 
 
 def _doc_sigs(s, d):
-    return sketch.signatures(tables.shingle_items(s, d), sql.DOC_COEFS, sql.DOC_P)
+    return sketch.signatures_long(tables.word_numbers(s, d), sql.DOC_COEFS, sql.DOC_P)
 
 
 @query
@@ -125,7 +126,7 @@ def minhash_signature(s, d):
 
 @query
 def minhash_clusters(s, d):
-    return sketch.minhash_clusters(_doc_sigs(s, d)).select("id", F.col("cluster").cast("long").alias("cluster"))
+    return sketch.minhash_clusters(checkpointed(_doc_sigs(s, d))).select("id", F.col("cluster").cast("long").alias("cluster"))
 
 
 @query
@@ -140,7 +141,7 @@ def lsh_buckets(s, d):
 
 @query
 def lsh_candidate_pairs(s, d):
-    return sketch.candidate_pairs(sketch.buckets(_doc_sigs(s, d), 20, 5))
+    return sketch.signature_pairs(checkpointed(_doc_sigs(s, d)), 20, 5)
 
 
 def _bit_buckets(s, d):

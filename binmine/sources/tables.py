@@ -34,11 +34,11 @@ def shingles(spark: SparkSession, sf_dir: str, size: int = 1024) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("w")).select("id", (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 6), 16, 10).cast("long") % size + 1).cast("int").alias("j")).distinct()
 
 
-def shingle_items(spark: SparkSession, sf_dir: str, size: int = 1024) -> DataFrame:
-    """id and the numbers of shingles() as an array, in one row for each document, those without words too: no shuffle."""
+def word_numbers(spark: SparkSession, sf_dir: str, size: int = 1024) -> DataFrame:
+    """id, j: the numbers of shingles(), maybe repeated, a null one for a document without words: no shuffle."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: w != ""))
-    number = lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 6), 16, 10).cast("long") % size + 1).cast("int")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.transform(words, number).alias("items"))
+    number = (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 6), 16, 10).cast("long") % size + 1).cast("int")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode_outer(words).alias("w")).select("id", number.alias("j"))
 
 
 def from_wide(df: DataFrame, prefix: str = "V", key: str = "id") -> DataFrame:

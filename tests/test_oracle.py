@@ -125,3 +125,32 @@ def test_neighbours_do_not_depend_on_blocks(spark):
     for chunks in (1, 4):
         one, many = (sorted(map(tuple, leader.neighbour_edges(obs, 7, 0.5, chunks, block=n).collect())) for n in (1000, 10))
         assert one == many and one
+
+
+def test_signatures_read_their_documents_once(spark):
+    """The plans of MinHash and LSH scan documents once, whatever follows, and pair rows of one exchange."""
+    from binmine.operators import sketch
+    from binmine.plans import registry, sql
+    from binmine.sources import tables
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sigs = plan(sketch.signatures_long(tables.word_numbers(spark, SF), sql.DOC_COEFS, sql.DOC_P))
+    assert sigs.count("FileScan parquet") == 1 and sigs.count("Exchange hashpartitioning") == 1
+    for name in ("lsh_candidate_pairs", "minhash_clusters"):
+        df = registry.QUERIES[name](spark, SF)
+        df.collect()
+        assert "documents.parquet" not in plan(df), "signatures are written once and read again"
+
+
+def test_pairs_of_split_buckets(spark):
+    """One bucket with a third of the rows, split in parts, gives the pairs of whole buckets, each once."""
+    from binmine.operators import sketch
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [1, 1, int(a), int(b)] if i % 3 == 0 else [int(a), int(b), int(c), 7]) for i, (a, b, c) in enumerate(rng.integers(0, 4, (240, 3)))]
+    sigs = spark.createDataFrame(rows, "id long, sig array<long>")
+    want = sorted((a, b) for a, x in rows for b, y in rows if a < b and any(x[k : k + 2] == y[k : k + 2] for k in (0, 2)))
+    for part in (16, 100_000):
+        assert sorted(map(tuple, sketch.signature_pairs(sigs, 4, 2, part).collect())) == want
+        assert sorted(map(tuple, sketch.candidate_pairs(sketch.buckets(sigs, 4, 2), part).collect())) == want
+    assert sketch.signature_pairs(sigs.limit(0), 4, 2).count() == 0
