@@ -36,6 +36,17 @@ def nearest(obs: DataFrame, reps: DataFrame, *keep: str) -> DataFrame:
     return x.crossJoin(F.broadcast(r)).select("id", *keep, best.alias("b")).select("id", *keep, F.col("b.cluster").alias("cluster"), F.col("b.d").alias("d"))
 
 
+def within(obs: DataFrame, reps: DataFrame, radius: float, *keep: str) -> DataFrame:
+    """id, kept columns, cluster: the lowest cluster of reps (cluster, v) nearer than radius (a share of the bits), or null.
+
+    reps is a few rows, met as in nearest().
+    """
+    x = obs.select("id", *keep, packed("v").alias("__x"), F.size("v").alias("__p"))
+    r = reps.orderBy("cluster").agg(F.sort_array(F.collect_list(F.struct("cluster", packed("v").alias("r")))).alias("__rs"))
+    near = F.array_min(F.transform(F.filter("__rs", lambda m: hamming(F.col("__x"), m["r"]) < radius * F.col("__p")), lambda m: m["cluster"]))
+    return x.crossJoin(F.broadcast(r)).select("id", *keep, near.alias("cluster"))
+
+
 def seeded(seed: int, key: str = "id") -> Column:
     """A text whose order is a shuffle that other engines reproduce."""
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")).cast("binary"))

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from binmine.functions.bits import chunked, hamming, packed, popcount, seeded
+from binmine.functions.bits import chunked, hamming, packed, popcount, seeded, within
+from binmine.functions.kernels import distances
 from binmine.operators import merge
 from binmine.operators.graph import connected_components
+from binmine.session import checkpointed, discard, scratch
 
 
 def canopy_pass(remaining: DataFrame, centre: list[int], t1: float) -> DataFrame:
@@ -36,13 +38,54 @@ def canopy_kernel(t1: float, t2: float, seed: int | None = None):
     return run
 
 
-def canopy(obs: DataFrame, t1: float, t2: float, seed: int = 1) -> DataFrame:
-    """id, cluster. Serial in the centres by definition; 0 < t2 <= t1, else rows could stay without a label or for ever."""
+#: Rows of a round of canopies that are looked at together.
+PREFIX = 1024
+
+
+def _first_centres(x: np.ndarray, t2: float) -> np.ndarray:
+    """Rows that are no nearer than t2 to an earlier such row."""
+    near = np.rint(distances(x) * x.shape[1]) < t2 * x.shape[1]
+    left, out = np.ones(len(x), bool), []
+    for i in range(len(x)):
+        if left[i]:
+            out.append(i)
+            left &= ~near[i]
+    return np.array(out, int)
+
+
+def canopy(obs: DataFrame, t1: float, t2: float, seed: int = 1, prefix: int = PREFIX) -> DataFrame:
+    """id, cluster. Centres are rows, in seeded order, that no earlier centre is nearer than t2 to; 0 < t2 <= t1, else rows
+    could stay without a label or for ever.
+
+    That is the lexicographically first maximal independent set of rows nearer than t2, found in rounds: of the first
+    `prefix` rows that are left, those without an earlier neighbour that is a centre become centres at once, all rows left
+    meet them, and those near one go, labelled by the first (a row's last canopy is the one that takes it, so t1 moves no
+    label). Whether a row is a centre depends on earlier rows only, so the labels are those of one row after the other. The
+    driver holds `prefix` rows; every row meets every centre once, and no task holds the table. A null row is in no canopy.
+    """
     if not 0 < t2 <= t1:
         raise ValueError("canopies need 0 < t2 <= t1")
-    hashed = obs.select("id", "v", seeded(seed).alias("h"))
-    local = merge.local_clusters(hashed, 1, canopy_kernel(t1, t2), order="h")
-    return local.select("id", (F.col("local") + 1).alias("cluster"))
+    spark, out = obs.sparkSession, scratch(obs.sparkSession, "canopies")
+    left = checkpointed(obs.where("v is not null").select("id", "v", seeded(seed).alias("h")))
+    number, rounds = 0, 0
+    while True:
+        first = left.orderBy("h", "id").limit(prefix).select("v").collect()
+        if not first:
+            break
+        x = np.array([r.v for r in first], np.int8).reshape(len(first), -1)
+        centres = [(number + k + 1, x[i].tolist()) for k, i in enumerate(_first_centres(x, t2))]
+        number, rounds = number + len(centres), rounds + 1
+        near = within(left, spark.createDataFrame(centres, "cluster int, v array<tinyint>"), t2, "v", "h")
+        # rows of the prefix are all taken, so each round ends with fewer rows and those taken are written once
+        met = checkpointed(near)
+        met.where("cluster is not null").select("id", "cluster").write.parquet(f"{out}/round={rounds}")
+        rest = checkpointed(met.where("cluster is null").select("id", "v", "h"))
+        discard(left, met)
+        left = rest
+    discard(left)
+    if not rounds:
+        return spark.createDataFrame([], "id long, cluster int")
+    return spark.read.schema("id long, cluster int, round int").parquet(out).select("id", "cluster")
 
 
 def canopy_par(obs: DataFrame, t1: float, t2: float, k: int, chunks: int, seed: int = 1) -> DataFrame:

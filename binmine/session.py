@@ -20,18 +20,35 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df, *by: str):
-    """df as a table written below spark.checkpoint.dir and read again: lineage and size estimates end here.
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path below spark.checkpoint.dir.
 
-    by names columns to lay the table out by. Where a session on one machine has no such folder a temporary one is set;
-    on a cluster that is an error, as executors do not share local folders.
+    Where a session on one machine has no such folder a temporary one is set; on a cluster that is an error, as executors
+    do not share local folders.
     """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or getattr(checkpointed, "own", None)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or getattr(scratch, "own", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = checkpointed.own = tempfile.mkdtemp(prefix="binmine-")
-    path = f"{base.rstrip('/')}/binmine-table-{uuid.uuid4().hex}"
+        base = scratch.own = tempfile.mkdtemp(prefix="binmine-")
+    return f"{base.rstrip('/')}/binmine-{tag}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df, *by: str):
+    """df as a table written below spark.checkpoint.dir and read again: lineage and size estimates end here.
+
+    by names columns to lay the table out by. discard() removes it.
+    """
+    path = scratch(df.sparkSession, "table")
     df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Remove tables of checkpointed() that no later plan reads."""
+    for t in tables:
+        jvm, spark = t.sparkSession._jvm, t.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
