@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Rounds after which an iteration that still moves raises instead of giving unfinished results.
+GUARD = 10_000
+
+
 def primes(low: int, high: int) -> list[int]:
     sieve = np.ones(high + 1, bool)
     sieve[:2] = False
@@ -21,7 +25,7 @@ def distances(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
     return (x.sum(1)[:, None] + y.sum(1)[None, :] - 2 * (x @ y.T)).astype(np.float64) / max(1, x.shape[1])
 
 
-def pam(d: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+def pam(d: np.ndarray, k: int) -> np.ndarray:
     """Medoid rows of a distance matrix: greedy build, then best swaps while the cost falls."""
     n = len(d)
     k = min(k, n)
@@ -32,7 +36,7 @@ def pam(d: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
         gain[medoids] = -1
         medoids.append(int(gain.argmax()))
         near = np.minimum(near, d[:, medoids[-1]])
-    for _ in range(rounds):
+    for _ in range(GUARD):
         cost = d[:, medoids].min(1).sum()
         best, swap = cost - 1e-12, None
         for i in range(k):
@@ -43,12 +47,19 @@ def pam(d: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
             if costs.min() < best:
                 best, swap = costs.min(), (i, int(costs.argmin()))
         if swap is None:
-            break
+            return np.array(medoids)
         medoids[swap[0]] = swap[1]
-    return np.array(medoids)
+    raise RuntimeError(f"medoids still move after {GUARD} rounds")
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the first on ties, and its squared distance."""
+    d = np.round(np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * (x @ centres.T), 0.0), 9)
+    label = d.argmin(1)
+    return label, d[np.arange(len(x)), label]
 
 
-def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Labels from 0; centres start at spread-out distinct rows, so fewer rows than k give fewer labels."""
     x = x.astype(np.float64)
     rng = np.random.default_rng(seed)
@@ -59,10 +70,10 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
         d = np.min([((distinct - c) ** 2).sum(1) for c in centres], axis=0)
         centres.append(distinct[d.argmax()])
     c = np.array(centres)
-    for _ in range(rounds):
+    for _ in range(GUARD):
         label = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
         new = np.array([x[label == i].mean(0) if (label == i).any() else c[i] for i in range(k)])
         if np.allclose(new, c):
-            break
+            return label
         c = new
-    return label
+    raise RuntimeError(f"centres still move after {GUARD} rounds")

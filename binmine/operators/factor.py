@@ -7,13 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binmine.functions.bits import nearest, ranked, seeded
+from binmine.functions.kernels import GUARD
 from binmine.operators import merge
 
 
-#: Rounds after which a model that still improves raises instead of giving unfinished labels.
-GUARD = 10_000
-
-
 def _unsettled(rounds: int) -> RuntimeError:
     return RuntimeError(f"the objective still falls after {rounds} rounds")
 
@@ -206,19 +203,19 @@ def block_model_par(obs: DataFrame, k: int, c: int, chunks: int, seed: int = 1)
     return merge.merge(merge.local_clusters(obs, chunks, block_kernel(k, c, seed)), merge.by_pam(k))
 
 
-def rank_one(x: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def rank_one(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and pattern of a binary rank-one approximation, alternating from the densest row."""
     y = x[x.sum(1).argmax()].astype(int)
     rows = np.zeros(len(x), bool)
-    for _ in range(rounds):
+    for _ in range(GUARD):
         new = 2 * (x @ y) >= y.sum()
         if not new.any():
             new[(x @ y).argmax()] = True
         z = (2 * x[new].sum(0) >= new.sum()).astype(int)
         if (new == rows).all() and (z == y).all():
-            break
+            return rows, y
         rows, y = new, z
-    return rows, y
+    raise _unsettled(GUARD)
 
 
 def proximus_kernel(radius: float):

@@ -261,14 +261,14 @@ def _merge_features(place):
 def clope(obs: DataFrame, r: float = 2.0, chunks: int = 4, max_iteration: int = 5, max_moved: int = 0, most: int = 1000) -> DataFrame:
     """id, cluster: greedy profit in each chunk, then the chunks' features in order by the same rule."""
     place = lambda c, x, n: _clope_place(c, x, n, r, most)
-    return merge.merge(merge.local_clusters(obs, chunks, _greedy(place, place, max_iteration, max_moved)), _merge_features(place))
+    return merge.merge(merge.local_clusters(obs, chunks, _greedy(place, place, max_iteration, max_moved)), merge.on_driver(_merge_features(place)))
 
 
 def largeitem(obs: DataFrame, w: float = 1.0, minsupport: float = 0.5, chunks: int = 4, max_iteration: int = 5, max_moved: int = 0, variant: str = "reference") -> DataFrame:
     """id, cluster: greedy least cost in each chunk (moves go to existing clusters only), then features by the same rule."""
     place = lambda c, x, n: _largeitem_place(c, x, n, minsupport, w, variant)
     again = lambda c, x, n: _largeitem_place(c, x, n, minsupport, w, variant, new=False)
-    return merge.merge(merge.local_clusters(obs, chunks, _greedy(place, again, max_iteration, max_moved)), _merge_features(place))
+    return merge.merge(merge.local_clusters(obs, chunks, _greedy(place, again, max_iteration, max_moved)), merge.on_driver(_merge_features(place)))
 
 
 def scale_assign(rows: pd.DataFrame, occ: np.ndarray, n: np.ndarray, total: int) -> np.ndarray:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from binmine.functions.bits import seeded
+from binmine.functions.bits import ranked, seeded
 from binmine.functions.kernels import kmeans
-from binmine.operators import merge
+from binmine.operators import merge, representatives
 from binmine.session import checkpointed
 
 
@@ -29,8 +29,8 @@ def balanced_variables(obs: DataFrame, *by: str) -> DataFrame:
 def mbt_partitions(obs: DataFrame, threshold: int, chunk: str | None = None) -> DataFrame:
     """id, v, (chunk,) part: the bits taken on the way down. Parts over threshold are split, and all are at first, twice.
 
-    A part whose best bit is constant is final; a bit is constant below its split, so there are no more levels than bits. The table of chosen bits grows with rows / threshold, so how it is joined is
-    left to the optimiser.
+    A part whose best bit is constant is final; a bit is constant below its split, so there are no more levels than bits. The
+    table of chosen bits grows with rows / threshold, so how it is joined is left to the optimiser.
     """
     by = [chunk] if chunk else []
     now = obs.select("id", *by, "v", F.lit("").alias("part"), F.lit(True).alias("open"))
@@ -50,16 +50,14 @@ def mbt_partitions(obs: DataFrame, threshold: int, chunk: str | None = None) ->
     return now.drop("open")
 
 
-def _cluster_parts(parts: DataFrame, k: int, seed: int, *by: str) -> DataFrame:
-    """k-means over a seeded representative of each part (parts are few); id, cluster."""
-    rep = parts.withColumn("rn", F.row_number().over(Window.partitionBy(*by, "part").orderBy(seeded(seed), "id"))).where("rn = 1").select(*by, "part", "v").orderBy(*by, "part").collect()
-    labels = kmeans(np.array([r.v for r in rep]), k, seed) if rep else []
-    small = parts.sparkSession.createDataFrame([(r.part, int(c) + 1) for r, c in zip(rep, labels, strict=True)], "part string, cluster int")
-    return parts.join(F.broadcast(small), "part").select("id", "cluster")
-
-
 def mbt(obs: DataFrame, threshold: int, k: int, seed: int = 1) -> DataFrame:
-    return _cluster_parts(mbt_partitions(obs, threshold), k, seed)
+    """id, cluster: k-means over one seeded row of each part. Parts are as many as rows / threshold and stay a frame."""
+    parts = checkpointed(mbt_partitions(obs, threshold))
+    first = F.min_by("v", F.struct(seeded(seed), "id"))
+    reps = parts.groupBy("part").agg(first.alias("v")).select("part", F.col("v").cast("array<double>").alias("v"))
+    reps = checkpointed(ranked(reps, "part", "idx").select("part", (F.col("idx") - 1).cast("long").alias("idx"), "v"))
+    of = reps.drop("v").join(representatives.kmeans(reps.select("idx", "v"), k, seed), "idx").select("part", "cluster")
+    return parts.join(of, "part").select("id", "cluster")
 
 
 def mbt_kernel(threshold: int, k: int, seed: int):

@@ -45,3 +45,63 @@ def test_canopies_of_odd_tables(spark):
     one = obs_of(spark, np.eye(3, dtype=int)).unionByName(spark.createDataFrame([(9, None)], "id long, v array<tinyint>"))
     got = {r.id: r.cluster for r in leader.canopy(one.unionByName(one.where("id = 1")), 0.4, 0.4, prefix=1).collect()}
     assert set(got) == {0, 1, 2} and sorted(got.values()) == [1, 2, 3]
+
+
+# ---- representatives
+
+
+def points_of(spark, x):
+    return spark.createDataFrame([(i, [float(b) for b in r]) for i, r in enumerate(x)], "idx long, v array<double>")
+
+
+@pytest.mark.parametrize("n,k,p,block", [(300, 5, 64, 64), (90, 1, 20, 32), (40, 60, 16, 16), (200, 4, 6, 32)])
+def test_medoids_by_blocks_are_those_of_one_array(spark, n, k, p, block):
+    from binmine.functions import kernels
+    from binmine.operators import representatives
+
+    rng = np.random.default_rng(n)
+    centres = rng.integers(0, 2, (6, p))
+    x = centres[rng.integers(0, 6, n)] ^ (rng.random((n, p)) < 0.2)
+    k = min(k, 8) if block < n else k
+    want = kernels.pam(np.rint(kernels.distances(x) * p), k).tolist()
+    for size in (block, n):
+        at, rows = representatives.pam_medoids(points_of(spark, x.astype(int)).repartition(3), k, size)
+        assert at == want and (rows == x[want]).all()
+
+
+def test_kmeans_by_aggregates(spark):
+    from binmine.operators import representatives
+
+    rng = np.random.default_rng(2)
+    truth = rng.integers(0, 5, 400)
+    x = rng.integers(0, 2, (5, 40))[truth] ^ (rng.random((400, 40)) < 0.08)
+    points = points_of(spark, x.astype(int))
+    got = np.array([r.cluster for r in representatives.kmeans(points.repartition(5), 5, 1).orderBy("idx").collect()])
+    assert len({(t, c) for t, c in zip(truth.tolist(), got.tolist(), strict=True)}) == 5
+    again = np.array([r.cluster for r in representatives.kmeans(points.repartition(2), 5, 1).orderBy("idx").collect()])
+    assert (got == again).all(), "partitions change nothing"
+    centres = np.array([x[got == c].mean(0) for c in range(1, 6)])
+    assert (((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1) + 1 == got).all(), "no row would move"
+    few = points_of(spark, np.eye(2, dtype=int).repeat(10, axis=0))
+    assert representatives.kmeans(few, 7, 1).select("cluster").distinct().count() == 2
+    assert representatives.kmeans(few.limit(0), 3, 1).count() == 0 and representatives.medoid_clusters(few.limit(0), 3).count() == 0
+
+
+def test_collected_representatives_do_not_grow_with_chunks(spark, monkeypatch):
+    """Rows that reach the driver in a merge follow k, not the number of representatives."""
+    from pyspark.sql import DataFrame as Frame
+
+    from binmine.operators import merge
+
+    rng = np.random.default_rng(3)
+    seen, plain = [], Frame.collect
+    monkeypatch.setattr(Frame, "collect", lambda self: seen.append(out := plain(self)) or out)
+    monkeypatch.setattr(Frame, "toPandas", lambda self: pytest.fail("toPandas"))
+    most = []
+    for n in (200, 800):
+        local = spark.createDataFrame([(i, i % 20, i // 20, [float(b) for b in rng.integers(0, 2, 12)]) for i in range(n)], merge.LOCAL)
+        for join in (merge.by_kmeans(3, 1), merge.by_pam(3)):
+            seen.clear()
+            assert merge.merge(local, join).count() == n
+            most.append(max((len(o) for o in seen), default=0))
+    assert max(most) <= 3 * 13, most
