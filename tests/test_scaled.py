@@ -105,3 +105,160 @@ def test_collected_representatives_do_not_grow_with_chunks(spark, monkeypatch):
             assert merge.merge(local, join).count() == n
             most.append(max((len(o) for o in seen), default=0))
     assert max(most) <= 3 * 13, most
+
+
+# ---- BUBBLE
+
+
+def ham(a, b):
+    return sum(x != y for x, y in zip(a, b, strict=True)) / len(a)
+
+
+class PlainTree:
+    """A tree of dictionaries: leaves hold features, nodes hold nodes; every medoid is computed when it is asked for."""
+
+    def __init__(self, threshold, most, budget):
+        self.t, self.most, self.budget, self.root = threshold, most, budget, None
+
+    def centre(self, e):
+        if "n" in e:
+            return e["c"]
+        points = [self.centre(x) for x in e["has"]]
+        sums = [round(sum(ham(a, b) for b in points), 9) for a in points]
+        return points[sums.index(min(sums))]
+
+    def nearest(self, node, x):
+        d = [ham(self.centre(e), x) for e in node["has"]]
+        return d.index(min(d)), min(d)
+
+    def features(self, node=None):
+        node = node or self.root
+        return [f for e in node["has"] for f in ([e] if "n" in e else self.features(e))]
+
+    def leaf_nodes(self, node):
+        return [node] if "n" in node["has"][0] else [n for e in node["has"] for n in self.leaf_nodes(e)]
+
+    def put(self, f):
+        if self.root is None:
+            self.root = {"has": [f]}
+            return
+        path = [self.root]
+        while "n" not in path[-1]["has"][0]:
+            path.append(path[-1]["has"][self.nearest(path[-1], f["c"])[0]])
+        leaf = path[-1]
+        i, d = self.nearest(leaf, f["c"])
+        if d <= self.t:
+            self.take(leaf["has"][i], f, d)
+        elif len(leaf["has"]) < self.most:
+            leaf["has"].append(f)
+        else:
+            self.split(path)
+            self.put(f)
+
+    def take(self, g, f, d):
+        f["into"] = g
+        if f["n"] > 1:
+            pool = [(s + b["n"] * ham(o, b["c"]) + b["rs"], o) for a, b in ((g, f), (f, g)) for o, s in [(a["c"], a["rs"]), *zip(a["near"], a["sums"], strict=True)]]
+            pool = sorted(pool, key=lambda z: round(z[0], 9))[:11]
+            g["rad"] += f["rad"] + f["n"] * d
+            g["n"] += f["n"]
+            (g["rs"], g["c"]), g["near"], g["sums"] = pool[0], [o for _, o in pool[1:]], [s for s, _ in pool[1:]]
+            return
+        x = f["c"]
+        own = d + sum(ham(x, o) for o in g["near"]) if g["n"] <= 10 else g["rad"] + g["n"] * d
+        g["sums"] = [s + ham(x, o) for s, o in zip(g["sums"], g["near"], strict=True)]
+        g["rs"], g["rad"], g["n"] = g["rs"] + d, g["rad"] + d, g["n"] + 1
+        sums = [*g["sums"], own]
+        best = sums.index(min(sums))
+        late = (own, x)
+        if sums[best] < g["rs"]:
+            old = (g["rs"], g["c"])
+            if best == len(g["near"]):
+                (g["rs"], g["c"]), late = late, old
+            else:
+                g["rs"], g["c"] = g["sums"][best], g["near"][best]
+                g["sums"][best], g["near"][best] = old
+        if len(g["near"]) < 10:
+            g["near"].append(late[1])
+            g["sums"].append(late[0])
+        else:
+            worst = g["sums"].index(max(g["sums"]))
+            if late[0] < g["sums"][worst]:
+                g["sums"][worst], g["near"][worst] = late
+
+    def split(self, path):
+        for at in range(len(path) - 1, -1, -1):
+            node = path[at]
+            if len(node["has"]) < self.most:
+                return
+            points = [self.centre(e) for e in node["has"]]
+            far = max((ham(a, b), -i) for i, a in enumerate(points) for b in points)
+            order = sorted(range(len(points)), key=lambda j: ham(points[-far[1]], points[j]))
+            close = set(order[: self.most // 2])
+            other = {"has": [e for j, e in enumerate(node["has"]) if j in close]}
+            node["has"] = [e for j, e in enumerate(node["has"]) if j not in close]
+            if at:
+                path[at - 1]["has"].append(other)
+                if len(path[at - 1]["has"]) <= self.most:
+                    return
+            else:
+                self.root = {"has": [node, other]}
+
+    def add(self, f):
+        self.put(f)
+        while len(self.features()) > self.budget:
+            gaps = [min(ham(a["c"], b["c"]) for i, a in enumerate(n["has"]) for b in n["has"][i + 1 :]) for n in self.leaf_nodes(self.root) if len(n["has"]) > 1]
+            old = self.features()
+            self.t, self.root = max(self.t + 1 / len(old[0]["c"]), sum(gaps) / len(gaps) if gaps else 0.0), None
+            for g in old:
+                self.put(g)
+
+
+def row(x):
+    return {"c": tuple(x), "n": 1, "rs": 0.0, "rad": 0.0, "near": [], "sums": [], "into": None}
+
+
+def last(f):
+    while f["into"] is not None:
+        f = f["into"]
+    return f
+
+
+def plain_leaves(x, t, most, chunks, budget, fan):
+    """{row: leaf}: trees of contiguous chunks, joined fan at a time."""
+    small, extra = divmod(len(x), chunks)
+    cuts = [0]
+    for c in range(chunks):
+        cuts.append(cuts[-1] + small + (c < extra))
+    trees, mine = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        tree = PlainTree(t, most, budget)
+        for r in x[a:b]:
+            mine.append(row(r))
+            tree.add(mine[-1])
+        trees.append(tree)
+    while len(trees) > 1:
+        now = []
+        for g in range(0, len(trees), fan):
+            tree = PlainTree(max(u.t for u in trees[g : g + fan]), most, budget)
+            for u in trees[g : g + fan]:
+                for f in u.features():
+                    tree.add(f)
+            now.append(tree)
+        trees = now
+    number = {id(f): k for k, f in enumerate(trees[0].features(), 1)}
+    return {i: number[id(last(f))] for i, f in enumerate(mine)}, len(number), trees[0].t
+
+
+@pytest.mark.parametrize("chunks,budget,fan", [(1, 1000, 8), (1, 6, 8), (4, 1000, 8), (5, 9, 2)])
+def test_joined_trees_against_plain_python(spark, chunks, budget, fan):
+    from binmine.operators import bubble
+
+    rng = np.random.default_rng(7)
+    x = (rng.integers(0, 2, (12, 16))[rng.integers(0, 12, 160)] ^ (rng.random((160, 16)) < 0.12)).astype(int)
+    rows, leaves = bubble.joined_trees(obs_of(spark, x), 0.2, 4, chunks, budget, fan)
+    want, n, t = plain_leaves(x.tolist(), 0.2, 4, chunks, budget, fan)
+    assert {r.id: r.leaf for r in rows.collect()} == want
+    got = {r.leaf: r.n for r in leaves.collect()}
+    assert len(got) == n <= budget and (t > 0.2) == (budget < 20)
+    assert got == {k: sum(v == k for v in want.values()) for k in got}
