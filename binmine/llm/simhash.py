@@ -84,15 +84,20 @@ def wide_fingerprint(shingles: np.ndarray, words: int) -> bytes:
     return np.packbits((2 * votes > len(shingles)).ravel(), bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long), a row for each row of docs. A null text has no words."""
+def _fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, h (a hash of the text), fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py() or "", size, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py() or "", size, seed) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
+
+    return map_texts(docs.select(F.col(key).cast("long").alias("doc_id"), _text_hash(text), F.col(text).cast("string").alias("text")), run, "doc_id long, h long, fp long")
+
 
-    return map_texts(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long), a row for each row of docs. A null text has no words."""
+    return _fingerprinted(docs, key, text, size, seed).select("doc_id", "fp")
 
 
 def _words(bits: np.ndarray, words: int) -> np.ndarray:
@@ -232,33 +237,59 @@ def near_links(classes: DataFrame, radius: int = RADIUS, part: int = PART) -> Da
     return _dealt(buckets, part).repartition("g").sortWithinPartitions("g").mapInPandas(_links(radius), "a long, b long")
 
 
+def _named(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """For classes (fp, rep, first: the least (doc_id, h) of the class, or null) and components of their numbers (node,
+    component): fp, component_id and whether a row is its component's least, for each of rows (doc_id, h, fp)."""
+    of = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = of.groupBy("component").agg(F.min("first").alias("least"))
+    of_fp, _ = written(of.join(least, "component").select("fp", "least"), "classes")
+    named = rows.join(of_fp, "fp")
+    own = F.coalesce(F.struct("doc_id", "h") == F.col("least"), F.lit(False))
+    return named.select("doc_id", "h", "fp", F.col("least.doc_id").alias("component_id"), own.alias("own"))
+
+
+def _first() -> Column:
+    """The least (doc_id, h) of rows with an id."""
+    return F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")
+
+
+def _text_hash(text: str) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h")
+
+
+def _components(docs: DataFrame, key: str, text: str, radius: int) -> DataFrame:
+    fps, _ = written(_fingerprinted(docs, key, text), "fingerprints")
+    classes, _ = written(fps.groupBy("fp").agg(_first()).withColumn("rep", F.col("fp")), "classes")
+    return _named(fps, classes, connected_components(near_links(classes.where("first is not null").select("fp", "rep"), radius)))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for each row of docs.
 
-    component_id is the smallest doc_id that links reach. Rows without words have fingerprint 0 and link like others.
-    A null doc_id never names a component: its row gets the smallest other doc_id of its class and those linked with
-    it by equal fingerprints, and null where there is none. Repeated rows stay, an empty table gives an empty result.
+    component_id is the smallest doc_id that links reach. Classes of equal fingerprints are what is linked, so different
+    texts under one id stay apart; their components may then be named alike. Rows without words have fingerprint 0 and link
+    like others. A null doc_id never names a component: its row gets the smallest other doc_id of its class and those linked
+    with it by equal fingerprints, and null where there is none. Repeated rows stay, an empty table gives an empty result.
     Other columns of docs are not read.
     """
-    fps, _ = written(fingerprints(docs, key, text), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    linked = connected_components(near_links(classes.where("rep is not null"), radius)).withColumnRenamed("node", "rep")
-    of_fp, _ = written(classes.join(linked, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
-    return fps.join(of_fp, "fp")
+    return _components(docs, key, text, radius).select("fp", "doc_id", "component_id")
 
 
 def _named_rows(docs: DataFrame, components: DataFrame) -> DataFrame:
-    kept, _ = written(components.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each component: of the rows with its least id and text hash that of the least hash of all columns."""
+    kept, _ = written(components.where("own").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct(), "kept")
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", _text_hash("text"))
+    named = keyed.join(kept, ["__id", "__h"], "left_semi").groupBy("__id", "__h").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
     return named.unionByName(docs.where("doc_id is null"))
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component of near_duplicates(), that whose doc_id names it; all columns are kept.
+    """docs with one row of each component of near_duplicates(), one whose doc_id names it; all columns are kept.
 
-    Of rows with that same doc_id one is kept. Rows with a null doc_id cannot be named and are kept all.
+    Of repeated rows one is kept. Rows with a null doc_id cannot be named and are kept all.
     """
-    return _named_rows(docs, near_duplicates(docs, radius=radius))
+    return _named_rows(docs, _components(docs, "doc_id", "text", radius))
 
 
 #: Texts are near copies at this Jaccard similarity of their distinct shingles of so many words.
@@ -303,8 +334,8 @@ def _banded(words: int, band: int):
 def _wide(size: int, seed: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprint(distinct_shingles(t.as_py() or "", size, seed), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            fps = [wide_fingerprint(distinct_shingles(t.as_py() or "", size, seed), words) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], ["doc_id", "h", "fp"])
 
     return run
 
@@ -390,12 +421,19 @@ def near_copies(docs: DataFrame, jaccard: float = JACCARD, size: int = WORDS_OF_
     """doc_id, component_id for each row of docs: components of texts whose distinct shingles are that similar.
 
     Found are pairs that agree in one band of bits at least and differ in few enough: of those at exactly a similarity of 0.8
-    some 0.9, at 0.82 0.95, at 0.85 0.99, at 0.9 more than 0.999; components lose less, as their members are linked in many ways. Texts of equal distinct shingles, those without words among them, are
-    equal. Null ids, repeated rows, ties and empty tables are as in near_duplicates(). No bucket, component or text is limited in size.
+    some 0.9, at 0.82 0.95, at 0.85 0.99, at 0.9 more than 0.999; components lose less, as their members are linked in many
+    ways. Texts of equal distinct shingles, those without words among them, are equal. What is linked are classes of equal
+    fingerprints, so different texts under one id stay apart; null ids, repeated rows, ties and empty tables are as in
+    near_duplicates(). No bucket, component or text is limited in size.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fps, _ = written(map_texts(rows, _wide(size, seed, words), "doc_id long, fp binary"), "fingerprints")
-    classes, class_path = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    return _copies(docs, jaccard, size, key, text, words, band, seed, part).select("doc_id", "component_id")
+
+
+def _copies(docs: DataFrame, jaccard: float = JACCARD, size: int = WORDS_OF_COPIES, key: str = "doc_id", text: str = "text", words: int = WIDE, band: int = BAND, seed: int = SEED, part: int = PART) -> DataFrame:
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), _text_hash(text), F.col(text).cast("string").alias("text"))
+    fps, _ = written(map_texts(rows, _wide(size, seed, words), "doc_id long, h long, fp binary"), "fingerprints")
+    # a class is known by a number that holds once the table is written
+    classes, class_path = written(fps.groupBy("fp").agg(_first()).withColumn("rep", F.monotonically_increasing_id()), "classes")
     sure, most = radii(jaccard, 64 * words)
     spark = docs.sparkSession
 
@@ -405,42 +443,44 @@ def near_copies(docs: DataFrame, jaccard: float = JACCARD, size: int = WORDS_OF_
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([distinct_shingles(t.as_py() or "", size, seed).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([distinct_shingles(t.as_py() or "", size, seed).tobytes() for t in b.column(1)], pa.binary())], ["rep", "s"])
 
     def checked(pairs: DataFrame) -> tuple[DataFrame, str]:
-        """a, b and whether their texts are alike."""
-        ids, ids_path = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")  # of known size: texts move only if it is large
-        sets, sets_path = written(map_texts(rows.join(ids, "doc_id", "left_semi"), shingles, "doc_id long, s binary"), "shingles")
-        sets = sets.dropDuplicates(["doc_id"])
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+        """a, b and whether their texts are alike; a class's text is that of its least row."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "first.*"), "rep")
+        wanted, wanted_path = written(wanted, "texts")  # of known size: texts move only if it is large
+        sets, sets_path = written(map_texts(rows.join(wanted, ["doc_id", "h"]).select("rep", "text"), shingles, "rep long, s binary"), "shingles")
+        sets = sets.dropDuplicates(["rep"])
+        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
         out = written(map_texts(both.select("a", "b", "x", "y"), _alike(jaccard), "a long, b long, alike boolean"), "checked")
-        discard(spark, ids_path, sets_path)
+        discard(spark, wanted_path, sets_path)
         return out
 
+    named = classes.where("first is not null").select("fp", "rep")
     # first what is sure, and of what is in doubt the nearest pairs that span: groups of near copies are whole after that
-    first, first_path = candidates(classes.where("rep is not null").select("fp", "rep", F.col("rep").alias("component")), True)
+    first, first_path = candidates(named.withColumn("component", F.col("rep")), True)
     doubt, doubt_path = written(first.where("doubt").select("a", "b").distinct(), "doubt")
     known, known_path = checked(doubt)
     links = first.where("not doubt").select("a", "b").unionByName(known.where("alike").select("a", "b"))
     parts, parts_path = written(connected_components(links).withColumnRenamed("node", "rep"), "parts")
     # a pair in doubt that is still apart and was not looked at stands, at both ends, in components that have a pair found unlike
-    of_rep = classes.where("rep is not null").join(parts, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
+    of_rep = named.join(parts, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
     unlike = known.where("not alike").select(F.explode(F.array("a", "b")).alias("rep")).join(of_rep.select("rep", "component"), "rep").select("component").distinct()
     rest, rest_path = candidates(of_rep.join(unlike, "component", "left_semi").select("fp", "rep", "component"), False)
     again, again_path = written(rest.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "doubt")
     more, more_path = checked(again)
-    linked = connected_components(links.unionByName(more.where("alike").select("a", "b"))).withColumnRenamed("node", "rep")
-    of_fp, _ = written(classes.join(linked, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
+    linked = connected_components(links.unionByName(more.where("alike").select("a", "b")))
+    out = _named(fps, classes, linked)
     discard(spark, class_path, first_path, doubt_path, known_path, parts_path, rest_path, again_path, more_path)
-    return fps.join(of_fp, "fp").select("doc_id", "component_id")
+    return out
 
 
 def without_near_copies(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """docs with one row of each component of near_copies(), that whose doc_id names it; all columns are kept.
+    """docs with one row of each component of near_copies(), one whose doc_id names it; all columns are kept.
 
-    Of rows with that same doc_id one is kept. Rows with a null doc_id cannot be named and are kept all.
+    Of repeated rows one is kept. Rows with a null doc_id cannot be named and are kept all.
     """
-    return _named_rows(docs, near_copies(docs, jaccard))
+    return _named_rows(docs, _copies(docs, jaccard))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,7 +226,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
 
     A vector that is null, empty, zero or has null or non-finite components links with nothing, as does a row with a null
     id and vectors of different lengths; such a row is a component of its own (of no id, if its id is null). Equal
-    vectors link. Repeated rows count as other rows. Other columns are not read. block: vectors of a block, if not a share of all.
+    vectors link. Repeated rows count as other rows, different vectors under one id are linked each for itself. Other columns are not read. block: vectors of a block, if not a share of all.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec"))
@@ -234,7 +234,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     if kind == "f8":
         rows = rows.withColumn("vec", F.col("vec").cast("array<double>"))
     good = rows.where(usable(F.col("vec")) & F.col("vec_id").isNotNull())
-    classes, class_path = written(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", "vec"), "vectors")
+    classes, class_path = written(good.groupBy("vec").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("rep"), "n", "vec", "first"), "vectors")
+    ids, classes = classes, classes.select("rep", "n", "vec")  # equal vectors are a class, known by a number: one id may have several vectors
     basis, eps = principal_dimensions(classes), math.sqrt(2 - 2 * cosine) + 1e-9
     block = block or max(SMALLEST, min(LARGEST, classes.count() // SHARE))
     k = basis.shape[1]
@@ -255,7 +256,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     discard(spark, block_path, box_path)
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     parts = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    known, _ = written(classes.join(links, "rep", "left").join(parts, "rep", "left").select("vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "linked")
+    joined = ids.join(links, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+    known, _ = written(joined.join(least, "component").select("vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "linked")
     discard(spark, class_path, found_path)
     named = rows.withColumn("vec", F.when(F.col("vec_id").isNotNull(), F.col("vec"))).join(known, "vec", "left")
     return named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
