@@ -5,7 +5,9 @@ text score below zero. Counts are smoothed by Dirichlet priors in two levels: a
 prefix's prior the whole corpus, so an inflected form that was never seen takes after its stem. A linear-time scan
 finds all maximal-scoring segments of a text. By extreme-value theory the number of chance segments of score S or more
 in n tokens is about E = K n exp(-lambda S): lambda solves E[exp(lambda s)] = 1 over the scores of clean tokens, K comes
-from the best segments of clean texts, and what a text holds is gathered as -log E of all its segments together (S is the
+from the best segments of clean texts. Tokens of real texts come in clumps, which stretches the tail; what is called a
+significant passage is therefore settled by a line through the logarithms of the shares of clean texts that have a best
+segment as good or better. What a text holds is gathered as -log E of all its segments together (S is the
 log of their summed exponentials), which a logistic curve turns into a probability.
 
 Only training rows teach: counts, lambda, K and the curve. Lambda, K and the curve are fitted on scores that each half of
@@ -38,8 +40,8 @@ LOW, HIGH, BIN = -20.0, 60.0, 0.25
 #: Token scores are counted between minus and plus this, in bins so wide.
 SPREAD, NARROW = 20.0, 0.02
 THRESHOLD = 0.3
-#: Expected chance segments below which a passage is significant.
-SIGNIFICANT = 0.01
+#: Share of clean texts with a passage as good, below which it is significant, and the share from which on the tail is fitted.
+SIGNIFICANT, TAIL = 0.01, 0.1
 
 WORDS = re.compile(r"\w+").findall
 
@@ -75,7 +77,10 @@ class Counts:
 
 @dataclass
 class Model:
-    """Scores of tokens, and what turns a text's evidence into a probability; log_k is the log of K."""
+    """Scores of tokens, and what turns a text's evidence into a probability; log_k is the log of K.
+
+    least is the value of lambda S - log n that a share of SIGNIFICANT clean texts reach.
+    """
 
     tokens: np.ndarray
     prefix_share: np.ndarray
@@ -84,6 +89,7 @@ class Model:
     log_k: float = 0.0
     slope: float = 1.0
     intercept: float = 0.0
+    least: float = 0.0
 
     @classmethod
     def of(cls, tokens: np.ndarray, prefixes: np.ndarray) -> Model:
@@ -131,6 +137,24 @@ def gumbel_log_k(x: np.ndarray, weights: np.ndarray, low: float) -> float:
     return float(x[at]) + math.log(-math.log(q))
 
 
+def tail_value(x: np.ndarray, weights: np.ndarray, share: float, log_k: float) -> float:
+    """The value that a share of chance texts, with best segments x, reach: on a line through the tail's log shares.
+
+    Points count by their texts. Where the tail is too short for a line, the theory's E = exp(log K - x) stands in, but
+    never below the value that a share of the texts at hand reach.
+    """
+    order = np.argsort(-x)
+    x, weights = x[order], weights[order]
+    reach = np.cumsum(weights) / weights.sum()  # of the texts at x or more
+    tail = np.flatnonzero((reach <= TAIL) & (np.cumsum(weights) >= 5))
+    at_hand = float(x[min(int(np.searchsorted(reach, share)), len(x) - 1)]) + BIN
+    if len(tail) < 3:
+        return max(at_hand, log_k - math.log(share))
+    w = np.sqrt(np.cumsum(weights)[tail])
+    slope, at = np.polyfit(x[tail], np.log(reach[tail]), 1, w=w)
+    return max(at_hand, float((math.log(share) - at) / slope)) if slope < 0 else max(at_hand, log_k - math.log(share))
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score), in order, in linear time (after Ruzzo and Tompa)."""
     total = np.concatenate([[0.0], np.cumsum(scores)])
@@ -281,6 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     x, n = np.array([LOW + BIN * (r.bin + 0.5) for r in bins]), np.array([float(r["count"]) for r in bins])
     if (kind == 2).any():
         model.log_k = gumbel_log_k(x[kind == 2], n[kind == 2], LOW + BIN)
+        model.least = tail_value(x[kind == 2], n[kind == 2], SIGNIFICANT, model.log_k)
     x, y, n = x[kind < 2] - model.log_k, (kind[kind < 2] == 1).astype(float), n[kind < 2]
     c = float(np.average(x, weights=n))
     a, b = math.log((n @ y + 0.5) / (n @ (1 - y) + 0.5)), 0.1
@@ -316,7 +341,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             for t in b.column(1):
                 found, n = s.segments(t.as_py() or "") if s else ([], 0)
                 scores.append(model.probability(s.evidence(found, n)) if s else 0.0)
-                least = (model.log_k + math.log(n / SIGNIFICANT)) / model.lam if found else 0.0
+                least = (model.least + math.log(n)) / model.lam if found else 0.0
                 passages.append([{"start": a, "end": e, "score": x} for a, e, x in found if x >= least])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([len(p) for p in passages], pa.int32()), pa.array(passages, PASSAGES)], ["doc_id", "score", "n_passages", "passages"])
 
