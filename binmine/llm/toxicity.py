@@ -6,8 +6,8 @@ prefix's prior the whole corpus, so an inflected form that was never seen takes
 finds all maximal-scoring segments of a text. By extreme-value theory the number of chance segments of score S or more
 in n tokens is about E = K n exp(-lambda S): lambda solves E[exp(lambda s)] = 1 over the scores of clean tokens, K comes
 from the best segments of clean texts. Tokens of real texts come in clumps, which stretches the tail; what is called a
-significant passage is therefore settled by a line through the logarithms of the shares of clean texts that have a best
-segment as good or better. What a text holds is gathered as -log E of all its segments together (S is the
+significant passage is, where clean texts refute the theory, settled by a line through the logarithms of the shares of
+them that have a best segment as good or better. What a text holds is gathered as -log E of all its segments together (S is the
 log of their summed exponentials), which a logistic curve turns into a probability.
 
 Only training rows teach: counts, lambda, K and the curve. Lambda, K and the curve are fitted on scores that each half of
@@ -41,7 +41,7 @@ LOW, HIGH, BIN = -20.0, 60.0, 0.25
 SPREAD, NARROW = 20.0, 0.02
 THRESHOLD = 0.3
 #: Share of clean texts with a passage as good, below which it is significant, and the share from which on the tail is fitted.
-SIGNIFICANT, TAIL = 0.01, 0.1
+SIGNIFICANT, TAIL = 0.01, 0.04
 
 WORDS = re.compile(r"\w+").findall
 
@@ -138,21 +138,21 @@ def gumbel_log_k(x: np.ndarray, weights: np.ndarray, low: float) -> float:
 
 
 def tail_value(x: np.ndarray, weights: np.ndarray, share: float, log_k: float) -> float:
-    """The value that a share of chance texts, with best segments x, reach: on a line through the tail's log shares.
+    """The value that a share of chance texts, with best segments x, reach.
 
-    Points count by their texts. Where the tail is too short for a line, the theory's E = exp(log K - x) stands in, but
-    never below the value that a share of the texts at hand reach.
+    By theory that is where E = exp(log K - x) is the share. Where more than three times as many of the texts at hand reach
+    it, the theory's independent tokens do not fit them, and a line through the tail's log shares, in which points count by
+    their texts, takes its place, if the tail is long enough for one.
     """
     order = np.argsort(-x)
     x, weights = x[order], weights[order]
     reach = np.cumsum(weights) / weights.sum()  # of the texts at x or more
     tail = np.flatnonzero((reach <= TAIL) & (np.cumsum(weights) >= 5))
-    at_hand = float(x[min(int(np.searchsorted(reach, share)), len(x) - 1)]) + BIN
-    if len(tail) < 3:
-        return max(at_hand, log_k - math.log(share))
-    w = np.sqrt(np.cumsum(weights)[tail])
-    slope, at = np.polyfit(x[tail], np.log(reach[tail]), 1, w=w)
-    return max(at_hand, float((math.log(share) - at) / slope)) if slope < 0 else max(at_hand, log_k - math.log(share))
+    theory = log_k - math.log(share)
+    if weights[x >= theory].sum() <= 3 * share * weights.sum() or len(tail) < 3:
+        return theory
+    slope, at = np.polyfit(x[tail], np.log(reach[tail]), 1, w=np.sqrt(np.cumsum(weights)[tail]))
+    return float((math.log(share) - at) / slope) if slope < 0 else theory
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
