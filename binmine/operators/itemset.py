@@ -152,18 +152,27 @@ def scale_ewcd_add(obs_long: DataFrame, labels: DataFrame, rows_long: DataFrame,
 
 
 class _Clusters:
-    """Features of one chunk's clusters: items S, distinct items W, supports, rows N."""
+    """Features of one chunk's clusters: supports, rows N, items S, distinct items W, the last two kept up with each change."""
 
     def __init__(self, p: int) -> None:
-        self.occ, self.n = np.zeros((0, p), np.int64), np.zeros(0, np.int64)
+        self._occ, self._sums = np.zeros((16, p), np.int64), np.zeros((3, 16), np.int64)
+        self.k = 0
+
+    occ = property(lambda self: self._occ[: self.k])
+    n = property(lambda self: self._sums[0, : self.k])
+    s = property(lambda self: self._sums[1, : self.k])
+    w = property(lambda self: self._sums[2, : self.k])
 
     def grow(self) -> int:
-        self.occ, self.n = np.vstack([self.occ, np.zeros((1, self.occ.shape[1]), np.int64)]), np.append(self.n, 0)
-        return len(self.n) - 1
+        if self.k == len(self._occ):
+            self._occ, self._sums = np.vstack([self._occ, np.zeros_like(self._occ)]), np.hstack([self._sums, np.zeros_like(self._sums)])
+        self.k += 1
+        return self.k - 1
 
     def add(self, k: int, occ: np.ndarray, n: int, sign: int = 1) -> None:
-        self.occ[k] += sign * occ
-        self.n[k] += sign * n
+        self._occ[k] += sign * occ
+        self._sums[:, k] += sign * n, sign * int(occ.sum()), 0
+        self._sums[2, k] = np.count_nonzero(self._occ[k])
 
 
 def _profit(s, n, w, r):
@@ -171,8 +180,9 @@ def _profit(s, n, w, r):
 
 
 def _clope_place(c: _Clusters, occ: np.ndarray, n: int, r: float, most: int, alive: np.ndarray | None = None) -> int:
-    s, w = c.occ.sum(1), (c.occ > 0).sum(1)
-    gain = _profit(s + occ.sum(), c.n + n, ((c.occ + occ) > 0).sum(1), r) - _profit(s, c.n, w, r)
+    items = np.flatnonzero(occ)
+    s, w = c.s, c.w
+    gain = _profit(s + occ.sum(), c.n + n, w + (c.occ[:, items] == 0).sum(1), r) - _profit(s, c.n, w, r)
     live = (c.n > 0) & (s > 0)  # the cluster of rows without items takes no others
     gain = np.where(live, gain, -np.inf)
     alone = float(_profit(occ.sum(), n, (occ > 0).sum(), r))
@@ -200,7 +210,7 @@ def _large_costs(occ: np.ndarray, n: np.ndarray, x: np.ndarray, xn: int, minsup:
 
 
 def _largeitem_place(c: _Clusters, x: np.ndarray, xn: int, minsup: float, w: float, variant: str, new: bool = True) -> int:
-    live = np.flatnonzero((c.n > 0) & (c.occ.sum(1) > 0))
+    live = np.flatnonzero((c.n > 0) & (c.s > 0))
     if not len(live):
         return -1
     joins, alone = _large_costs(c.occ[live], c.n[live], x, xn, minsup, w, variant)
@@ -261,14 +271,14 @@ def _merge_features(place):
 def clope(obs: DataFrame, r: float = 2.0, chunks: int = 4, max_iteration: int = 5, max_moved: int = 0, most: int = 1000) -> DataFrame:
     """id, cluster: greedy profit in each chunk, then the chunks' features in order by the same rule."""
     place = lambda c, x, n: _clope_place(c, x, n, r, most)
-    return merge.merge(merge.local_clusters(obs, chunks, _greedy(place, place, max_iteration, max_moved)), merge.on_driver(_merge_features(place)))
+    return merge.merge_in_levels(merge.local_clusters(obs, chunks, _greedy(place, place, max_iteration, max_moved)), _merge_features(place))
 
 
 def largeitem(obs: DataFrame, w: float = 1.0, minsupport: float = 0.5, chunks: int = 4, max_iteration: int = 5, max_moved: int = 0, variant: str = "reference") -> DataFrame:
     """id, cluster: greedy least cost in each chunk (moves go to existing clusters only), then features by the same rule."""
     place = lambda c, x, n: _largeitem_place(c, x, n, minsupport, w, variant)
     again = lambda c, x, n: _largeitem_place(c, x, n, minsupport, w, variant, new=False)
-    return merge.merge(merge.local_clusters(obs, chunks, _greedy(place, again, max_iteration, max_moved)), merge.on_driver(_merge_features(place)))
+    return merge.merge_in_levels(merge.local_clusters(obs, chunks, _greedy(place, again, max_iteration, max_moved)), _merge_features(place))
 
 
 def scale_assign(rows: pd.DataFrame, occ: np.ndarray, n: np.ndarray, total: int) -> np.ndarray:

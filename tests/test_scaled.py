@@ -262,3 +262,127 @@ def test_joined_trees_against_plain_python(spark, chunks, budget, fan):
     got = {r.leaf: r.n for r in leaves.collect()}
     assert len(got) == n <= budget and (t > 0.2) == (budget < 20)
     assert got == {k: sum(v == k for v in want.values()) for k in got}
+
+
+# ---- CLOPE and Large Item
+
+
+class PlainClusters:
+    """Clusters as lists of rows; profits and costs are computed anew each time."""
+
+    def __init__(self, rule, r=2.0, minsup=0.5, w=1.0):
+        self.rule, self.r, self.minsup, self.w, self.has = rule, r, minsup, w, []
+
+    def profit(self, rows):
+        items = [j for x in rows for j in x]
+        return len(items) * len(rows) / len(set(items)) ** self.r if items else 0.0
+
+    def states(self, rows):
+        count = {}
+        for x in rows:
+            for j in x:
+                count[j] = count.get(j, 0) + 1
+        large = {j for j, c in count.items() if c >= len(rows) * self.minsup}
+        return large, set(count) - large
+
+    def cost(self, clusters, k):
+        """The least-cost rule's total once cluster k has been grown; its large items count once for each other cluster."""
+        state = [self.states(c) for c in clusters]
+        small = set().union(*(s for _, s in state))
+        large = set().union(*(l for l, _ in state))
+        others = len(clusters) - 1
+        inter = sum(len(l) for i, (l, _) in enumerate(state) if i != k) + len(state[k][0]) * others - len(large) if others else 0
+        return self.w * len(small) + inter
+
+    def place(self, rows, new=True):
+        live = [i for i, c in enumerate(self.has) if c and any(c)]
+        if not live:
+            return None
+        if self.rule == "clope":
+            gain = [self.profit(self.has[i] + rows) - self.profit(self.has[i]) for i in live]
+            best = gain.index(max(gain))
+            return None if self.profit(rows) > gain[best] else live[best]
+        costs = [self.cost([self.has[j] + rows if j == i else self.has[j] for j in live], k) for k, i in enumerate(live)]
+        best = costs.index(min(costs))
+        return None if new and self.cost([self.has[j] for j in live] + [rows], len(live)) < costs[best] else live[best]
+
+    def put(self, rows, new=True):
+        k = self.place(rows, new)
+        if k is None:
+            self.has.append([])
+            k = len(self.has) - 1
+        self.has[k] = self.has[k] + rows
+        return k
+
+
+def plain_chunk(x, rule, passes, **more):
+    c, label, empty = PlainClusters(rule, **more), [], None
+    for r in x:
+        if not r:
+            if empty is None:
+                c.has.append([])
+                empty = len(c.has) - 1
+            c.has[empty] = c.has[empty] + [r]
+            label.append(empty)
+        else:
+            label.append(c.put([r]))
+    for _ in range(passes):
+        moved = 0
+        for i, r in enumerate(x):
+            if r:
+                rest = list(c.has[label[i]])
+                rest.remove(r)
+                c.has[label[i]] = rest
+                k = c.put([r], new=rule == "clope")
+                moved += k != label[i]
+                label[i] = k
+        if not moved:
+            break
+    groups = {}
+    for i, k in enumerate(label):
+        groups.setdefault(k, []).append(i)
+    return list(groups.values())
+
+
+def plain_baskets(x, rule, chunks, fan, passes, **more):
+    """Chunks of contiguous rows, then their clusters in order, `fan` chunks at a time."""
+    small, extra = divmod(len(x), chunks)
+    at, now = 0, []
+    for c in range(chunks):
+        n = small + (c < extra)
+        now.append([[at + i for i in g] for g in plain_chunk(x[at : at + n], rule, passes, **more)])
+        at += n
+    while True:
+        nxt = []
+        for g in range(0, len(now), fan):
+            c, members = PlainClusters(rule, **more), {}
+            for group in (q for chunk in now[g : g + fan] for q in chunk):
+                rows = [x[i] for i in group]
+                if any(rows):
+                    k = c.put(rows)
+                else:
+                    c.has.append(rows)
+                    k = len(c.has) - 1
+                members.setdefault(k, []).extend(group)
+            nxt.append(list(members.values()))
+        now = nxt
+        if len(now) == 1:
+            return sorted(sorted(g) for g in now[0])
+
+
+@pytest.mark.parametrize("rule", ["clope", "largeitem"])
+@pytest.mark.parametrize("chunks,fan", [(1, 8), (3, 8), (5, 2)])
+def test_baskets_against_plain_python(spark, monkeypatch, rule, chunks, fan):
+    from binmine.operators import itemset, merge
+
+    rng = np.random.default_rng(11)
+    x = (rng.random((4, 14)) < 0.35)[rng.integers(0, 4, 48)] ^ (rng.random((48, 14)) < 0.08)
+    x[7] = x[20] = False
+    full = merge.merge_in_levels
+    monkeypatch.setattr(merge, "merge_in_levels", lambda local, join: full(local, join, fan))
+    run = (lambda o: itemset.clope(o, 2.0, chunks)) if rule == "clope" else (lambda o: itemset.largeitem(o, 1.0, 0.5, chunks))
+    got = {}
+    for r in run(obs_of(spark, x.astype(int))).collect():
+        got.setdefault(r.cluster, []).append(r.id)
+    rows = [tuple(np.flatnonzero(r).tolist()) for r in x]
+    assert sorted(sorted(g) for g in got.values()) == plain_baskets(rows, rule, chunks, fan, 6)
