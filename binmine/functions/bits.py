@@ -25,6 +25,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def shared(a: Column, b: Column) -> Column:
+    """Ones that two packed rows have both."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+
+
 def nearest(obs: DataFrame, reps: DataFrame, *keep: str) -> DataFrame:
     """id, kept columns, cluster, d: the nearest of reps (cluster, v), the lowest cluster on ties; reps is a few rows.
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binmine.functions.bits import nearest, ranked, seeded
+from binmine.functions.bits import hamming, nearest, packed, popcount, ranked, seeded, shared
 from binmine.functions.kernels import GUARD
-from binmine.operators import merge
+from binmine.operators import merge, representatives
+from binmine.session import checkpointed, discard, scratch
 
 
 def _unsettled(rounds: int) -> RuntimeError:
@@ -247,5 +252,123 @@ def proximus_kernel(radius: float):
 
 
 def proximus(obs: DataFrame, radius: float, k: int, chunks: int, seed: int = 1) -> DataFrame:
-    """id, cluster: patterns of each chunk, clustered by k-means."""
+    """id, cluster: patterns of each chunk, clustered by k-means. proximus_tree() needs no chunks."""
     return merge.merge(merge.local_clusters(obs, chunks, proximus_kernel(radius)), merge.by_kmeans(k, seed))
+
+
+def _node_sums(rows: DataFrame) -> DataFrame:
+    """node, n, s (ones of each bit, an array) of rows (node, v); a task adds up its own rows of a node before any shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {}
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.int64)
+            coded = b.column(0).dictionary_encode()
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            for k, node in enumerate(coded.dictionary.to_pylist()):
+                some = x[at == k]
+                own = found.setdefault(node, [0, 0])
+                own[0], own[1] = own[0] + len(some), own[1] + some.sum(0)
+            if len(found) > 10_000:
+                yield _sums_batch(found)
+                found.clear()
+        if found:
+            yield _sums_batch(found)
+
+    parts = rows.mapInArrow(run, "node string, n long, s array<long>")
+    bits = parts.select("node", "n", F.posexplode("s").alias("j", "s")).groupBy("node", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return bits.groupBy("node").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda c: c["s"]).alias("s"))
+
+
+def _sums_batch(found: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([s.tolist() for _, s in found.values()], pa.list_(pa.int64()))], ["node", "n", "s"])
+
+
+def _patterns(rows: DataFrame) -> DataFrame:
+    """node, y: the pattern of each node of rows (id, v, x, node), where alternating steps no longer change it.
+
+    A node starts from its densest row, the first on ties. A step takes the rows that share half of the pattern's ones at
+    least (the one that shares most, if there is none), and the bits that half of these have. All nodes that still move
+    take a step in one job.
+    """
+    first = F.max_by("v", F.struct(popcount("v").alias("ones"), (-F.col("id")).alias("i")))
+    now = checkpointed(rows.groupBy("node").agg(first.alias("y")).withColumn("still", F.lit(False)))
+    for _ in range(GUARD):
+        moving = now.where("not still")
+        both = rows.join(moving.select("node", packed("y").alias("p"), popcount("y").alias("ones")), "node").withColumn("common", shared(F.col("x"), F.col("p")))
+        taken = _node_sums(both.where("2 * common >= ones").select("node", "v"))
+        best = both.groupBy("node").agg(F.max_by("v", F.struct("common", (-F.col("id")).alias("i"))).alias("best"))
+        z = F.coalesce(F.transform("s", lambda a: (2 * a >= F.col("n")).cast("tinyint")), F.col("best"))
+        step = moving.join(best, "node").join(taken, "node", "left").select("node", z.alias("y"), (z == F.col("y")).alias("still"))
+        new = checkpointed(step.unionByName(now.where("still")))
+        discard(now)
+        now = new
+        if now.where("not still").isEmpty():
+            return now
+    raise _unsettled(GUARD)
+
+
+#: Rows of a node that is finished in one task.
+SMALL = 4096
+
+
+def _finished(radius: float):
+    """Rows of one small node: its leaves, named below it, and a leaf's pattern on its first row."""
+    kernel = proximus_kernel(radius)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        label, reps = kernel(np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1))
+        node = [f"{n}.{k}" for n, k in zip(pdf["node"], label.tolist(), strict=True)]
+        y: list = [None] * len(pdf)
+        for i in pd.Series(label).drop_duplicates().index:
+            y[i] = reps[label[i]].tolist()
+        return pd.DataFrame({"id": pdf["id"].to_numpy(), "node": node, "y": y})
+
+    return run
+
+
+def proximus_tree(obs: DataFrame, radius: float, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """labels (id, cluster) and patterns (cluster, v) of one recursion over the whole table, a level at a time.
+
+    A node all of whose rows are within radius of its pattern, or of one row, is a leaf; others split into the rows that
+    share half of the pattern's ones and the rest, or, where that is all rows, into those within radius (the nearest row, if
+    none is) and the rest. All nodes of a level alternate in the same jobs. Nodes of at most `small` rows are finished by the
+    same steps in a task each, all in one job, which changes no label; no task holds a larger node. Clusters are numbered by
+    their first id. A null row is in no cluster.
+    """
+    spark, out = obs.sparkSession, scratch(obs.sparkSession, "proximus")
+    rows, level = checkpointed(obs.where("v is not null").select("id", "v", packed("v").alias("x"), F.lit("").alias("node"))), 0
+    while True:
+        size = checkpointed(rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows")))
+        few = rows.join(size.where(F.col("rows") <= small), "node").select("id", "v", "node")
+        few.groupBy("node").applyInPandas(_finished(radius), "id long, node string, y array<tinyint>").write.parquet(f"{out}/level={level}/kind=small")
+        large = checkpointed(rows.join(size.where(F.col("rows") > small).select("node"), "node"))
+        discard(rows, size)
+        rows = large
+        if rows.isEmpty():
+            discard(rows)
+            break
+        y = _patterns(rows)
+        met = rows.join(y.select("node", packed("y").alias("p"), popcount("y").alias("ones")), "node").select("id", "v", "x", "node", (2 * shared(F.col("x"), F.col("p")) >= F.col("ones")).alias("in"), hamming(F.col("x"), F.col("p")).alias("d"))
+        per = met.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("most"), F.min(F.struct("d", "id")).alias("least"), F.count_if("in").alias("taken"))
+        per = checkpointed(per.join(y.select("node", "y"), "node").withColumn("leaf", (F.col("most") <= radius) | (F.col("n") == 1)))
+        by_pattern = (F.col("taken") > 0) & (F.col("taken") < F.col("n"))
+        near = F.when(F.col("least.d") <= radius, F.col("d") <= radius).otherwise(F.col("id") == F.col("least.id"))
+        told = met.join(per, "node")
+        told.where("leaf").select("id", "node", F.when(F.col("id") == F.col("least.id"), F.col("y")).alias("y")).write.parquet(f"{out}/level={level}/kind=large")
+        rest = checkpointed(told.where("not leaf").select("id", "v", "x", F.concat("node", F.when(F.when(by_pattern, F.col("in")).otherwise(near), "1").otherwise("0")).alias("node")))
+        discard(rows, y, per)
+        rows, level = rest, level + 1
+    found = spark.read.schema("id long, node string, y array<tinyint>, level int, kind string").parquet(out)
+    number = ranked(found.groupBy("node").agg(F.min("id").alias("first"), F.first("y", ignorenulls=True).alias("v")), "first", "cluster")
+    number = checkpointed(number.select("node", F.col("cluster").cast("int").alias("cluster"), "v"))
+    return found.join(number, "node").select("id", "cluster"), number.select("cluster", "v")
+
+
+def proximus_whole(obs: DataFrame, radius: float, k: int, seed: int = 1) -> DataFrame:
+    """id, cluster: the patterns of one recursion over the whole table, clustered by k-means as those of chunks are."""
+    labels, found = proximus_tree(obs, radius)
+    points = found.select((F.col("cluster") - 1).cast("long").alias("idx"), F.col("v").cast("array<double>").alias("v"))
+    of = representatives.kmeans(checkpointed(points), k, seed).select((F.col("idx") + 1).cast("int").alias("pattern"), "cluster")
+    return labels.withColumnRenamed("cluster", "pattern").join(of, "pattern").select("id", "cluster")

@@ -502,6 +502,11 @@ def proximus(s, d):
     return factor.proximus(_obs(s, d), 24.0, CLASSES, 4)
 
 
+@query
+def proximus_whole(s, d):
+    return factor.proximus_whole(_obs(s, d), 24.0, CLASSES)
+
+
 @query
 def bubble_clusters(s, d):
     return bubble.bubble_clusters(_obs(s, d), 0.4, 10, 4, CLASSES)

@@ -386,3 +386,34 @@ def test_baskets_against_plain_python(spark, monkeypatch, rule, chunks, fan):
         got.setdefault(r.cluster, []).append(r.id)
     rows = [tuple(np.flatnonzero(r).tolist()) for r in x]
     assert sorted(sorted(g) for g in got.values()) == plain_baskets(rows, rule, chunks, fan, 6)
+
+
+# ---- PROXIMUS
+
+
+@pytest.mark.parametrize("radius,small", [(0.0, 20), (2.0, 20), (5.0, 0), (2.0, 4096)])
+def test_whole_table_patterns_are_those_of_one_chunk(spark, radius, small):
+    from binmine.operators import factor
+
+    rng = np.random.default_rng(13)
+    x = ((rng.random((5, 16)) < 0.4)[rng.integers(0, 5, 70)] ^ (rng.random((70, 16)) < 0.06)).astype(int)
+    x[:3] = 0
+    labels, patterns = factor.proximus_tree(obs_of(spark, x).repartition(3), radius, small)
+    want, reps = factor.proximus_kernel(radius)(x)
+    assert {r.id: r.cluster - 1 for r in labels.collect()} == dict(enumerate(want.tolist()))
+    assert {r.cluster - 1: list(r.v) for r in patterns.collect()} == {i: y.tolist() for i, y in enumerate(reps)}
+
+
+def test_planted_patterns_without_chunks(spark):
+    from binmine.operators import factor
+
+    planted = np.kron(np.eye(4, dtype=int), np.ones(6, int))
+    x = np.repeat(planted, 25, axis=0)
+    flip = np.random.default_rng(1).integers(0, 24, 100)
+    x[np.arange(100), flip] ^= np.arange(100) % 3 == 0
+    labels, patterns = factor.proximus_tree(obs_of(spark, x), 1, small=30)
+    assert sorted(map(tuple, planted.tolist())) == sorted(tuple(r.v) for r in patterns.collect())
+    assert [r.cluster for r in labels.orderBy("id").collect()] == [1 + i // 25 for i in range(100)]
+    got = factor.proximus_whole(obs_of(spark, x), 1, 4)
+    assert got.count() == 100 and got.select("cluster").distinct().count() == 4
+    assert factor.proximus_tree(obs_of(spark, []), 1)[0].count() == 0
