@@ -227,19 +227,22 @@ class Matcher:
     the latent space, are verified wherever enough of their words stand together.
     """
 
-    def __init__(self, passages: list[Passage], terms: Terms, idf: np.ndarray, space: np.ndarray, s: Settings) -> None:
-        """idf: a weight for each term; space: a row for each term."""
+    def __init__(self, passages: list[Passage], terms: Terms, idf: np.ndarray, space: np.ndarray, s: Settings, own: list[int] | None = None) -> None:
+        """idf: a weight for each term; own: the terms that space has rows for, if not all. Others share a row of zeros."""
+        own = list(range(terms.none)) if own is None else own
         self.s, self.passages, self.terms = s, passages, terms
         number = terms.number
         self.ids = [[number[w] for w in p.words] for p in passages]
         self.answers = [{number.get(w, -1) for w in p.answer} or set(sorted(set(i), key=lambda x: (-idf[x], terms.terms[x]))[: s.seldom]) for p, i in zip(passages, self.ids, strict=True)]
-        self.space = np.vstack([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
+        self.space = np.vstack([space * idf[own, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
+        self.row = np.full(terms.none + 1, len(own), np.int32)
+        self.row[own] = np.arange(len(own), dtype=np.int32)
         latent: dict[int, list[int]] = {}
         exact: dict[int, list[int]] = {}
         self.least, self.span, posts = np.zeros(len(passages), np.int64), np.zeros(len(passages), np.int64), []
         for k, at in enumerate(self.ids):
             size = next((w for w in s.sizes if w >= len(at)), s.sizes[-1])
-            heavy = (idf[at] ** 2).mean() >= math.log(s.light) ** 2 and np.linalg.norm(self.space[at].sum(axis=0)) > 1e-6
+            heavy = (idf[at] ** 2).mean() >= math.log(s.light) ** 2 and np.linalg.norm(self.space[self.row[at]].sum(axis=0)) > 1e-6
             (latent if heavy and len(at) >= s.full else exact).setdefault(size, []).append(k)
             # of any words of a passage but for so many as may be missing, some must be there: the rarest are asked for
             need = s.need(len(at))
@@ -253,7 +256,7 @@ class Matcher:
         self.latent = [_Class(size, of) for size, of in sorted(latent.items())]
         self.exact = [_Class(size, of) for size, of in sorted(exact.items())]
         for c in self.latent:
-            q = np.array([self.space[self.ids[k]].sum(axis=0) for k in c.of], np.float32)
+            q = np.array([self.space[self.row[self.ids[k]]].sum(axis=0) for k in c.of], np.float32)
             c.q = (q / np.linalg.norm(q, axis=1, keepdims=True)).T.copy()
 
     def _places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,7 +304,7 @@ class Matcher:
                     s, t = starts[i : i + 1024], text[i : i + 1024]
                     v = np.zeros((len(s), self.space.shape[1]), np.float32)
                     for j in range(c.size):
-                        v += self.space[np.where(s + j < end[t], ids[np.minimum(s + j, len(ids) - 1)], self.terms.none)]
+                        v += self.space[self.row[np.where(s + j < end[t], ids[np.minimum(s + j, len(ids) - 1)], self.terms.none)]]
                     cos = v @ c.q / np.maximum(np.linalg.norm(v, axis=1), 1e-6)[:, None]
                     for r, m in zip(*(x.tolist() for x in np.nonzero(cos >= self.s.cosine)), strict=True):
                         self._verify(c.of[m], ids, int(s[r]), c.size, int(t[r]), begin, end, float(cos[r, m]), best)
@@ -372,11 +375,18 @@ def latent_space(spark: SparkSession, rows: list[tuple[list[int], list[float]]],
 
 
 def matchers(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Iterator[list[Matcher]]:
-    """Matchers of each group of the benchmark: item_id, text and, if there is one, answer."""
+    """Matchers of each group of the benchmark: item_id, text and, if there is one, answer.
+
+    The corpus is read once for the frequencies of all of the benchmark's words, which the driver holds.
+    """
+    every = sorted({w for group in _groups(benchmark, s) for p in group for w in (*p.words, *p.answer)})
+    if not every:
+        return
+    df, n = document_frequencies(docs, every)
+    weight = dict(zip(every, (np.log((n + 1.0) / (df + 1.0)) + 1e-3).tolist(), strict=True))
     for group in _groups(benchmark, s):
         terms = Terms(sorted({w for p in group for w in (*p.words, *p.answer)}))
-        df, n = document_frequencies(docs, terms.terms)
-        idf = np.log((n + 1.0) / (df + 1.0)) + 1e-3
+        idf = np.array([weight[w] for w in terms.terms])
         out = []
         for at in range(0, len(group), s.block):
             block = group[at : at + s.block]
@@ -390,9 +400,7 @@ def matchers(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
                 norm = math.sqrt(sum(x * x for x in tf.values()))
                 sparse.append((list(tf), [x / norm for x in tf.values()]))
             found = latent_space(docs.sparkSession, sparse, len(own), s)
-            space = np.zeros((terms.none, found.shape[1]))
-            space[own] = found
-            out.append(Matcher(block, terms, idf, space, s))
+            out.append(Matcher(block, terms, idf, found, s, own))
         yield out
 
 
