@@ -429,6 +429,11 @@ def near_copies(docs: DataFrame, jaccard: float = JACCARD, size: int = WORDS_OF_
     return _copies(docs, jaccard, size, key, text, words, band, seed, part).select("doc_id", "component_id")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ends of pairs a, b; each side is made distinct where it is read, so no pair becomes two rows."""
+    return pairs.select(F.col("a").alias("rep")).distinct().unionByName(pairs.select(F.col("b").alias("rep")).distinct()).distinct()
+
+
 def _copies(docs: DataFrame, jaccard: float = JACCARD, size: int = WORDS_OF_COPIES, key: str = "doc_id", text: str = "text", words: int = WIDE, band: int = BAND, seed: int = SEED, part: int = PART) -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), _text_hash(text), F.col(text).cast("string").alias("text"))
     fps, _ = written(map_texts(rows, _wide(size, seed, words), "doc_id long, h long, fp binary"), "fingerprints")
@@ -447,7 +452,7 @@ def _copies(docs: DataFrame, jaccard: float = JACCARD, size: int = WORDS_OF_COPI
 
     def checked(pairs: DataFrame) -> tuple[DataFrame, str]:
         """a, b and whether their texts are alike; a class's text is that of its least row."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "first.*"), "rep")
+        wanted = _ends(pairs).join(classes.select("rep", "first.*"), "rep")
         wanted, wanted_path = written(wanted, "texts")  # of known size: texts move only if it is large
         sets, sets_path = written(map_texts(rows.join(wanted, ["doc_id", "h"]).select("rep", "text"), shingles, "rep long, s binary"), "shingles")
         sets = sets.dropDuplicates(["rep"])
@@ -465,7 +470,7 @@ def _copies(docs: DataFrame, jaccard: float = JACCARD, size: int = WORDS_OF_COPI
     parts, parts_path = written(connected_components(links).withColumnRenamed("node", "rep"), "parts")
     # a pair in doubt that is still apart and was not looked at stands, at both ends, in components that have a pair found unlike
     of_rep = named.join(parts, "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
-    unlike = known.where("not alike").select(F.explode(F.array("a", "b")).alias("rep")).join(of_rep.select("rep", "component"), "rep").select("component").distinct()
+    unlike = _ends(known.where("not alike")).join(of_rep.select("rep", "component"), "rep").select("component").distinct()
     rest, rest_path = candidates(of_rep.join(unlike, "component", "left_semi").select("fp", "rep", "component"), False)
     again, again_path = written(rest.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "doubt")
     more, more_path = checked(again)
