@@ -224,8 +224,8 @@ def last(f):
     return f
 
 
-def plain_leaves(x, t, most, chunks, budget, fan):
-    """{row: leaf}: trees of contiguous chunks, joined fan at a time."""
+def plain_leaves(x, t, most, chunks, budget, fan, centres=False):
+    """{row: leaf}: trees of contiguous chunks, joined fan at a time; their number, the threshold, and the clustroids if asked for."""
     small, extra = divmod(len(x), chunks)
     cuts = [0]
     for c in range(chunks):
@@ -247,7 +247,8 @@ def plain_leaves(x, t, most, chunks, budget, fan):
             now.append(tree)
         trees = now
     number = {id(f): k for k, f in enumerate(trees[0].features(), 1)}
-    return {i: number[id(last(f))] for i, f in enumerate(mine)}, len(number), trees[0].t
+    out = {i: number[id(last(f))] for i, f in enumerate(mine)}, len(number), trees[0].t
+    return (*out, {number[id(f)]: f["c"] for f in trees[0].features()}) if centres else out
 
 
 @pytest.mark.parametrize("chunks,budget,fan", [(1, 1000, 8), (1, 6, 8), (4, 1000, 8), (5, 9, 2)])
