@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binmine.functions import bits
-from binmine.operators import bubble, factor, itemset, kmedoids, leader, metrics, simulate, sketch, trees, tune
+from binmine.operators import bubble, factor, itemset, kmedoids, leader, metrics, neighbours, simulate, sketch, trees, tune
 from binmine.plans import sql
 from binmine.session import checkpointed
 from binmine.sources import tables
@@ -167,12 +167,8 @@ def lsh_eval_sample(s, d):
 
 @query
 def hamming_topk(s, d):
-    from pyspark.sql.window import Window
-
-    x = tables.sign_bits(s, d).select("id", bits.packed("v").alias("x"))
-    q = F.broadcast(_probes(x).select(F.col("id").alias("query"), F.col("x").alias("y")))
-    near = x.crossJoin(q).where("id != query").select("query", "id", bits.hamming(F.col("x"), F.col("y")).alias("d"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where("rank <= 5")
+    x = tables.sign_bits(s, d).select("id", "v")
+    return neighbours.hamming_neighbours(x, _probes(x), 5)
 
 
 @query

@@ -418,3 +418,23 @@ def test_planted_patterns_without_chunks(spark):
     got = factor.proximus_whole(obs_of(spark, x), 1, 4)
     assert got.count() == 100 and got.select("cluster").distinct().count() == 4
     assert factor.proximus_tree(obs_of(spark, []), 1)[0].count() == 0
+
+
+# ---- neighbours
+
+
+@pytest.mark.parametrize("p,width,k", [(24, 8, 3), (20, 6, 5), (10, 4, 60)])
+def test_neighbours_by_segments(spark, p, width, k):
+    from binmine.operators import neighbours
+
+    rng = np.random.default_rng(p)
+    x = (rng.integers(0, 2, (5, p))[rng.integers(0, 5, 70)] ^ (rng.random((70, p)) < 0.15)).astype(int)
+    x[::3] = x[0]  # copies: many ties
+    obs = obs_of(spark, x)
+    got = {(r.query, r["rank"]): (r.id, r.d) for r in neighbours.hamming_neighbours(obs, obs.where("id % 7 = 0"), k, width).collect()}
+    want = {}
+    for q in range(0, 70, 7):
+        near = sorted((int((x[q] != x[i]).sum()), i) for i in range(70) if i != q)
+        want |= {(q, r): (i, d) for r, (d, i) in enumerate(near[:k], 1)}
+    assert got == want
+    assert neighbours.hamming_neighbours(obs.limit(0), obs, 3).count() == 0
