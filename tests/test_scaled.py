@@ -438,3 +438,57 @@ def test_neighbours_by_segments(spark, p, width, k):
         want |= {(q, r): (i, d) for r, (d, i) in enumerate(near[:k], 1)}
     assert got == want
     assert neighbours.hamming_neighbours(obs.limit(0), obs, 3).count() == 0
+
+
+# ---- merged forms
+
+
+def chunk_cuts(n, chunks):
+    small, extra = divmod(n, chunks)
+    out = [0]
+    for c in range(chunks):
+        out.append(out[-1] + small + (c < extra))
+    return list(zip(out, out[1:], strict=False))
+
+
+@pytest.mark.parametrize("model", ["binary", "block"])
+def test_merged_models_against_one_array(spark, model):
+    """Each chunk's model, medoids of its clusters, then one partitioning around medoids of all of these."""
+    from binmine.functions import kernels
+    from binmine.operators import factor
+
+    rng = np.random.default_rng(17)
+    x = (rng.integers(0, 2, (3, 16))[rng.integers(0, 3, 90)] ^ (rng.random((90, 16)) < 0.1)).astype(int)
+    run, kernel = (lambda o: factor.binary_model_par(o, 3, 4), factor.binary_kernel(3, 1)) if model == "binary" else (lambda o: factor.block_model_par(o, 3, 3, 4), factor.block_kernel(3, 3, 1))
+    reps, of = [], {}
+    for c, (a, b) in enumerate(chunk_cuts(90, 4), 1):
+        label, own = kernel(x[a:b], c)
+        for i, k in enumerate(label.tolist()):
+            of[a + i] = len(reps) + k
+            sums = [int((x[a:b][label == k][:, None] != x[a:b][label == k][None]).sum(2)[r].sum()) for r in range(int((label == k).sum()))]
+            assert (own[k] == x[a:b][label == k][sums.index(min(sums))]).all(), "a cluster's medoid"
+        reps += [r.tolist() for r in own]
+    d = (np.array(reps)[:, None] != np.array(reps)[None]).sum(2).astype(float)
+    near = d[:, kernels.pam(d, 3)].argmin(1)
+    assert {r.id: r.cluster for r in run(obs_of(spark, x)).collect()} == {i: int(near[k]) + 1 for i, k in of.items()}
+
+
+@pytest.mark.parametrize("name", ["canopy_par", "mbt_par", "proximus"])
+def test_merged_by_kmeans_follow_their_representatives(spark, name):
+    from binmine.operators import factor, leader, representatives, trees
+
+    rng = np.random.default_rng(19)
+    x = (rng.integers(0, 2, (4, 18))[rng.integers(0, 4, 100)] ^ (rng.random((100, 18)) < 0.1)).astype(int)
+    run, kernel = {
+        "canopy_par": (lambda o: leader.canopy_par(o, 0.3, 0.25, 4, 3), leader.canopy_kernel(0.3, 0.25, 1)),
+        "mbt_par": (lambda o: trees.mbt_par(o, 8, 4, 3), trees.mbt_kernel(8, 4, 1)),
+        "proximus": (lambda o: factor.proximus(o, 3.0, 4, 3), factor.proximus_kernel(3.0)),
+    }[name]
+    reps, of = [], {}
+    for c, (a, b) in enumerate(chunk_cuts(100, 3), 1):
+        label, own = kernel(x[a:b], c)
+        of |= {a + i: len(reps) + k for i, k in enumerate(label.tolist())}
+        reps += [r.tolist() for r in own]
+    cluster = {r.idx: r.cluster for r in representatives.kmeans(points_of(spark, reps), 4, 1).collect()}
+    got = {r.id: r.cluster for r in run(obs_of(spark, x)).collect()}
+    assert got == {i: cluster[k] for i, k in of.items()} and len(set(got.values())) > 1
