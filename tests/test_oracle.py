@@ -9,7 +9,6 @@ import pytest
 from binmine.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"largeitem_cost_add", "largeitem_cost_merge"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +25,7 @@ def rows(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_parity(spark, duck, name):
     got, want = rows(registry.QUERIES[name](spark, SF).toPandas()), rows(duck.execute(registry.ORACLE_SQL[name]).df())
     assert got == want
