@@ -86,7 +86,7 @@ def test_stages_and_queries_are_registered():
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
     found = __spark_entry__.queries()
-    assert "pipeline" in found and sorted(int(n[2:].split("_")[0]) for n in found if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert "pipeline" in found and sorted(int(n[2:].split("_")[0]) for n in found if re.match(r"op\d+_", n)) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(found)
 
 
