@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,46 +207,85 @@ def block_model_par(obs: DataFrame, k: int, c: int, chunks: int, seed: int = 1)
     return merge.merge(merge.local_clusters(obs, chunks, block_kernel(k, c, seed)), merge.by_pam(k))
 
 
-def rank_one(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and pattern of a binary rank-one approximation, alternating from the densest row."""
-    y = x[x.sum(1).argmax()].astype(int)
-    rows = np.zeros(len(x), bool)
+def _words(x: np.ndarray) -> np.ndarray:
+    """0/1 rows as words of 64 bits, padded with zeros."""
+    packed = np.packbits(x.astype(bool), axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+
+
+def _bit_sums(words: np.ndarray) -> np.ndarray:
+    """Ones of each bit; 255 rows at a time, which a byte can count."""
+    out = np.zeros(words.shape[1] * 64, np.int64)
+    for at in range(0, len(words), 255 * 256):
+        bits = np.unpackbits(words[at : at + 255 * 256].view(np.uint8), axis=1)
+        whole = len(bits) // 255 * 255
+        out += bits[:whole].reshape(-1, 255, len(out)).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
+    return out
+
+
+def _common(words: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Ones that each row shares with y."""
+    if words.shape[1] == 1:
+        return np.bitwise_count(words[:, 0] & y[0])
+    return np.bitwise_count(words & y).sum(1, dtype=np.int64)
+
+
+def rank_one(words: np.ndarray, ones: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, pattern (words) and shared ones of a binary rank-one approximation, alternating from the densest row.
+
+    ones and sums: the ones of each row and of each bit. Sums of a step's rows come from the fewer of the rows it takes or
+    leaves. A pattern that gives itself again is where alternating ends, as it takes the same rows again.
+    """
+    y = words[ones.argmax()]
     for _ in range(GUARD):
-        new = 2 * (x @ y) >= y.sum()
-        if not new.any():
-            new[(x @ y).argmax()] = True
-        z = (2 * x[new].sum(0) >= new.sum()).astype(int)
-        if (new == rows).all() and (z == y).all():
-            return rows, y
-        rows, y = new, z
+        common = _common(words, y)
+        size = int(np.bitwise_count(y).sum())
+        new = common >= (size + 1) // 2
+        n = int(np.count_nonzero(new))
+        if not n:
+            new[common.argmax()], n = True, 1
+        s = sums if n == len(new) else _bit_sums(words[new]) if 2 * n < len(new) else sums - _bit_sums(words[~new])
+        z = np.packbits(2 * s >= n).view(np.uint64)
+        if (z == y).all():
+            return new, y, common
+        y = z
     raise _unsettled(GUARD)
 
 
 def proximus_kernel(radius: float):
-    """Recursive rank-one patterns: a set all of whose rows are within radius of its pattern is a leaf, others split."""
+    """Recursive rank-one patterns: a set all of whose rows are within radius of its pattern is a leaf, others split.
+
+    Rows are words of bits: a step counts the bits of one word or a few for each row, and a set's sums are its parent's
+    less its sibling's.
+    """
 
     def run(x: np.ndarray, chunk: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        todo, label, reps = [np.arange(len(x))], np.zeros(len(x), int), []
+        return on_words(_words(x), x.shape[1])
+
+    def on_words(words: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+        label, reps = np.zeros(len(words), int), []
+        todo = [(np.arange(len(words)), words, np.bitwise_count(words).sum(1, dtype=np.int64), _bit_sums(words))]
         while todo:
-            at = todo.pop()
-            rows, y = rank_one(x[at])
-            d = (x[at] != y).sum(1)
-            if (d <= radius).all() or len(at) == 1:
+            at, words, ones, sums = todo.pop()
+            rows, y, common = rank_one(words, ones, sums)
+            d = ones + int(np.bitwise_count(y).sum()) - 2 * common.astype(np.int64)
+            near = d <= radius
+            if near.all() or len(at) == 1:
                 label[at] = len(reps)
-                reps.append(y)
-            elif rows.all() or not rows.any():
-                near = d <= radius
+                reps.append(np.unpackbits(y.view(np.uint8))[:p].astype(int))
+                continue
+            if rows.all():
                 if not near.any():
                     near[d.argmin()] = True
-                todo += [at[near], at[~near]] if not near.all() else []
-                if near.all():
-                    label[at] = len(reps)
-                    reps.append(y)
-            else:
-                todo += [at[rows], at[~rows]]
+                rows = near
+            rest = ~rows
+            taken, left = words[rows], words[rest]
+            own = _bit_sums(taken) if 2 * len(taken) < len(at) else sums - _bit_sums(left)
+            todo += [(at[rows], taken, ones[rows], own), (at[rest], left, ones[rest], sums - own)]
         used = merge.dense(label)
-        return used, np.array([reps[label[np.flatnonzero(used == i)[0]]] for i in range(used.max() + 1)])
+        return used, np.array(reps)[label[np.unique(used, return_index=True)[1]]]
 
+    run.on_words = on_words
     return run
 
 
@@ -262,7 +300,7 @@ def _node_sums(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.int64)
+            x = _bit_rows(b.column(1)).astype(np.int64)
             coded = b.column(0).dictionary_encode()
             at = coded.indices.to_numpy(zero_copy_only=False)
             for k, node in enumerate(coded.dictionary.to_pylist()):
@@ -308,26 +346,42 @@ def _patterns(rows: DataFrame) -> DataFrame:
     raise _unsettled(GUARD)
 
 
-#: Rows of a node that is finished in one task.
-SMALL = 4096
+#: Rows of a node that is finished in one task, as words of bits (8 bytes for 64) that come in batches.
+SMALL = 65_536
 
 
 def _finished(radius: float):
     """Rows of one small node: its leaves, named below it, and a leaf's pattern on its first row."""
     kernel = proximus_kernel(radius)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        label, reps = kernel(np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1))
-        node = [f"{n}.{k}" for n, k in zip(pdf["node"], label.tolist(), strict=True)]
-        y: list = [None] * len(pdf)
-        for i in pd.Series(label).drop_duplicates().index:
-            y[i] = reps[label[i]].tolist()
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "node": node, "y": y})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, p = [], [], 0
+        for b in batches:
+            if b.num_rows:
+                x = _bit_rows(b.column("v"))
+                ids.append(b.column("id").to_numpy(zero_copy_only=False))
+                words.append(_words(x))
+                p = x.shape[1]
+        ids, words = np.concatenate(ids), np.concatenate(words)
+        order = np.argsort(ids, kind="stable")
+        ids, words = ids[order], words[order]
+        label, reps = kernel.on_words(words, p)
+        firsts = np.zeros(len(ids), bool)
+        firsts[np.unique(label, return_index=True)[1]] = True
+        for at in range(0, len(ids), 8192):
+            some = slice(at, at + 8192)
+            y = [reps[k].tolist() if f else None for k, f in zip(label[some].tolist(), firsts[some].tolist(), strict=True)]
+            node = [f"{key[0].as_py()}.{k}" for k in label[some].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(node, pa.string()), pa.array(y, pa.list_(pa.int8()))], ["id", "node", "y"])
 
     return run
 
 
+def _bit_rows(column: pa.Array) -> np.ndarray:
+    """The 0/1 rows of a column of arrays of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def proximus_tree(obs: DataFrame, radius: float, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """labels (id, cluster) and patterns (cluster, v) of one recursion over the whole table, a level at a time.
 
@@ -342,7 +396,7 @@ def proximus_tree(obs: DataFrame, radius: float, small: int = SMALL) -> tuple[Da
     while True:
         size = checkpointed(rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows")))
         few = rows.join(size.where(F.col("rows") <= small), "node").select("id", "v", "node")
-        few.groupBy("node").applyInPandas(_finished(radius), "id long, node string, y array<tinyint>").write.parquet(f"{out}/level={level}/kind=small")
+        few.groupBy("node").applyInArrow(_finished(radius), "id long, node string, y array<tinyint>").write.parquet(f"{out}/level={level}/kind=small")
         large = checkpointed(rows.join(size.where(F.col("rows") > small).select("node"), "node"))
         discard(rows, size)
         rows = large

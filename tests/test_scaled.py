@@ -420,6 +420,80 @@ def test_planted_patterns_without_chunks(spark):
     assert factor.proximus_tree(obs_of(spark, []), 1)[0].count() == 0
 
 
+def plain_patterns(x, radius):
+    """The recursion on arrays of integers, a step as it is defined."""
+    from binmine.operators import merge
+
+    todo, label, reps = [np.arange(len(x))], np.zeros(len(x), int), []
+    while todo:
+        at = todo.pop()
+        a = x[at]
+        rows, y = np.zeros(len(a), bool), a[a.sum(1).argmax()]
+        while True:
+            new = 2 * (a @ y) >= y.sum()
+            if not new.any():
+                new[(a @ y).argmax()] = True
+            z = (2 * a[new].sum(0) >= new.sum()).astype(int)
+            if (new == rows).all() and (z == y).all():
+                break
+            rows, y = new, z
+        d = (a != y).sum(1)
+        if (d <= radius).all() or len(at) == 1:
+            label[at] = len(reps)
+            reps.append(y)
+            continue
+        if rows.all():
+            rows = d <= radius
+            if not rows.any():
+                rows[d.argmin()] = True
+        todo += [at[rows], at[~rows]]
+    used = merge.dense(label)
+    return used, np.array([reps[label[np.flatnonzero(used == i)[0]]] for i in range(used.max() + 1)])
+
+
+@pytest.mark.parametrize("p", [3, 25, 64, 130])
+def test_patterns_from_words_are_those_of_integers(p):
+    from binmine.operators import factor
+
+    rng = np.random.default_rng(p)
+    for share in (0.05, 0.5, 0.9):
+        x = (rng.random((700, p)) < share).astype(np.int64)
+        x[600:] = x[rng.integers(0, 600, 100)]
+        for radius in (0, 1.5, p // 3):
+            got, want = factor.proximus_kernel(radius)(x), plain_patterns(x, radius)
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_patterns_from_words_take_a_fraction_of_the_time():
+    import time
+
+    from binmine.operators import factor
+
+    x = (np.random.default_rng(2).random((6000, 64)) < 0.5).astype(np.int64)
+    took = []
+    for f in (factor.proximus_kernel(24), lambda x: plain_patterns(x, 24)):
+        began = time.process_time()
+        f(x)
+        took.append(time.process_time() - began)
+    assert took[0] < took[1] / 2
+
+
+def test_nodes_that_fit_a_task_need_no_job_a_level(spark):
+    from binmine.operators import factor
+
+    x = (np.random.default_rng(3).random((5000, 16)) < 0.5).astype(int)
+    sc = spark.sparkContext
+    sc.setJobGroup("levels", "levels")
+    try:
+        labels, _ = factor.proximus_tree(obs_of(spark, x), 4)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("levels"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 30
+    want, _ = factor.proximus_kernel(4)(x)
+    assert {r.id: r.cluster - 1 for r in labels.collect()} == dict(enumerate(want.tolist()))
+
+
 # ---- neighbours
 
 
