@@ -70,7 +70,11 @@ def pair_metrics(pairs: DataFrame, truth: DataFrame, n: int, classes: int) -> Da
     a = truth.select(F.col("id").alias("id1"), F.col("orig").alias("o1"))
     b = truth.select(F.col("id").alias("id2"), F.col("orig").alias("o2"))
     known = pairs.join(a, "id1").join(b, "id2", "left").where(F.col("o1").between(1, classes))
-    cells = known.agg(F.count_if(F.expr("o1 <=> o2")).alias("tp"), F.count_if(F.expr("not (o1 <=> o2)")).alias("fp"))
+    return pair_scores(known.agg(F.count_if(F.expr("o1 <=> o2")).alias("tp"), F.count_if(F.expr("not (o1 <=> o2)")).alias("fp")), n, classes)
+
+
+def pair_scores(cells: DataFrame, n: int, classes: int) -> DataFrame:
+    """The figures of pair_metrics() from its counts tp and fp."""
     each = n / classes
     full = cells.withColumn("tn", F.lit(each**classes) - F.col("fp")).withColumn("fn", F.lit(each * (each - 1) / 2 * classes) - F.col("tp"))
     out = full.select(F.expr("try_divide(tp, tp + fn)").alias("recall"), F.expr("try_divide(tp, tp + fp)").alias("precision"), F.expr(f"(tp + tn) / {n * (n - 1) / 2!r}D").alias("rand"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,19 +75,24 @@ def buckets(sigs: DataFrame, n_hash: int, bands: int) -> DataFrame:
 PART = 4096
 
 
-def _met(rows: DataFrame, part: int) -> DataFrame:
-    """rows (k1, k2: the bucket, id, more) twice, suffixed 1 and 2, for id1 < id2 in a bucket, each pair of a bucket once.
+def _dealt(rows: DataFrame, part: int) -> DataFrame:
+    """rows (k1, k2: the bucket, id, more) with own, c1, c2: a row's part of its bucket, in each cell it belongs to.
 
     A bucket over part ids is split by a hash of the id; every two parts are a cell of their own, so no key holds more
-    than two parts however large its bucket. Buckets of one id meet nothing and go before the join.
+    than two parts however large its bucket. Buckets of one id meet nothing and go first.
     """
     full = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", F.expr(f"cast((n + {part - 1}) div {part} as int)").alias("parts"))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts").cast("long")).cast("int")
     dealt = rows.join(full, ["k1", "k2"]).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("c1", F.least("own", "with")).withColumn("c2", F.greatest("own", "with"))
-    keys, more = ["k1", "k2", "c1", "c2"], [c for c in rows.columns if c not in ("k1", "k2")]
     # cells are small but their pairs are many: dealt to all tasks once, for both sides, by number of rows rather than bytes
-    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1", "k2", "c1", "c2")
+
+
+def _met(rows: DataFrame, part: int) -> DataFrame:
+    """rows (k1, k2: the bucket, id, more) twice, suffixed 1 and 2, for id1 < id2 in a bucket, each pair of a bucket once."""
+    dealt = _dealt(rows, part)
+    keys, more = ["k1", "k2", "c1", "c2"], [c for c in rows.columns if c not in ("k1", "k2")]
     a, b = (dealt.select(*keys, *(F.col(c).alias(f"{c}{n}") for c in [*more, "own"])) for n in (1, 2))
     return a.join(b, keys).where("id1 < id2 and (own1 != own2 or c1 = c2)")
 
@@ -104,6 +112,81 @@ def signature_pairs(sigs: DataFrame, n_hash: int, bands: int, part: int = PART)
     return _met(rows, part).where(first).select("id1", "id2")
 
 
+#: Ids of a bucket's part where pairs are counted and not returned, and rows of one part that meet the other at a time.
+COUNTED, TILE = 16_384, 256
+
+
+def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Each run of equal keys, the first columns, of sorted rows with the arrays of the other columns."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:keys]])
+        more = [c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns[keys:]]
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            if held and (k[at] != key).any():
+                yield key, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            key = k[at]
+            held.append([c[at:end] for c in more])
+    if held:
+        yield key, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _first_agreements(band: int, one: bool, a: list[np.ndarray], b: list[np.ndarray], classes: int) -> tuple[int, int]:
+    """Pairs of a's and b's rows (id, orig, codes of bands), or of a's alone, that agree in no band before: same and other class."""
+    (id1, o1, x), (id2, o2, y) = a, b
+    kind = np.uint16 if max(x.max(), y.max()) < 1 << 16 else np.int64
+    x, y = np.ascontiguousarray(x.T[: band + 1].astype(kind)), np.ascontiguousarray(y.T[: band + 1].astype(kind))
+    known1, known2 = (o1 >= 1) & (o1 <= classes), (o2 >= 1) & (o2 <= classes)
+    all_known = known1.all() and known2.all()
+    same = found = 0
+    for at in range(0, len(id1), TILE):
+        i, j = slice(at, at + TILE), slice(at if one else 0, None)
+        pair = x[band, i][:, None] == y[band, j]
+        for e in range(band):
+            pair &= x[e, i][:, None] != y[e, j]
+        if one:
+            pair &= id1[i][:, None] < id2[j]
+        if not all_known:
+            pair &= np.where(id1[i][:, None] < id2[j], known1[i][:, None], known2[j])
+        found += np.count_nonzero(pair)
+        pair &= o1[i][:, None] == o2[j]
+        same += np.count_nonzero(pair)
+    return int(same), int(found - same)
+
+
+def pair_counts(sigs: DataFrame, n_hash: int, bands: int, p: int, classes: int, part: int = COUNTED) -> DataFrame:
+    """tp, fp: how many of signature_pairs(), whose first class is one of 1..classes, are of the same class and how many not.
+
+    sigs: id (once), orig, sig with hashes of p items. No pair is made a row: the rows of a cell, sorted by id, meet in
+    tiles, and a task gives the counts of its cells. A band's values are one number.
+    """
+    sizes, base = band_sizes(n_hash, bands), p + 3
+    if base ** max(sizes) >= 1 << 63:
+        raise ValueError("a band's values do not fit one number")
+    ends = [sum(sizes[: b + 1]) for b in range(bands)]
+    codes = F.array(*(sum((F.col("sig")[i] + 1) * F.lit(base ** (i - e + n)) for i in range(e - n, e)).cast("int" if base**n < 1 << 31 else "long") for e, n in zip(ends, sizes, strict=True)))
+    rows = sigs.where("id is not null").select("id", F.coalesce(F.col("orig").cast("long"), F.lit(-1)).alias("orig"), codes.alias("codes")).select("*", F.posexplode("codes").alias("k1", "k2"))
+    keys = ["k1", "k2", "c1", "c2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tp = fp = 0
+        for (band, _, c1, c2), (own, *more) in _cells(batches, len(keys)):
+            order = np.argsort(more[0])
+            own, more = own[order], [c[order] for c in more]
+            a, b = ([c[own == side] for c in more] for side in (c1, c2))
+            if len(a[0]) and len(b[0]):
+                same, other = _first_agreements(int(band), c1 == c2, a, b, classes)
+                tp, fp = tp + same, fp + other
+        yield pa.RecordBatch.from_arrays([pa.array([tp], pa.int64()), pa.array([fp], pa.int64())], ["tp", "fp"])
+
+    cells = _dealt(rows, part).select(*keys, "own", "id", "orig", "codes").sortWithinPartitions(*keys)
+    return cells.mapInArrow(run, "tp long, fp long").agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"), F.coalesce(F.sum("fp"), F.lit(0)).alias("fp"))
+
+
 def candidate_pairs(found: DataFrame, part: int = PART) -> DataFrame:
     """Distinct id1 < id2 that share a bucket of found (band, h, id). The pairs of a bucket are what this operator is for."""
     rows = found.select(F.col("band").alias("k1"), F.col("h").alias("k2"), "id").distinct()

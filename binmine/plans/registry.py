@@ -150,8 +150,12 @@ def _bit_buckets(s, d):
 
 @query
 def lsh_pair_metrics(s, d):
-    obs = tables.sign_bits(s, d).select("id", "orig")
-    return _rounded(metrics.pair_metrics(sketch.candidate_pairs(_bit_buckets(s, d)), obs, obs.count(), CLASSES))
+    obs = tables.sign_bits(s, d)
+    n, ids = obs.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    if ids < n:  # rows of one id are one end of a pair, and missing ids are none
+        return _rounded(metrics.pair_metrics(sketch.candidate_pairs(_bit_buckets(s, d)), obs.select("id", "orig"), n, CLASSES))
+    sigs = checkpointed(sketch.signatures(tables.to_items(obs, "orig"), sql.BIT_COEFS, P, "orig"))
+    return _rounded(metrics.pair_scores(sketch.pair_counts(sigs, 20, 10, P, CLASSES), n, CLASSES))
 
 
 @query

@@ -494,6 +494,28 @@ def test_nodes_that_fit_a_task_need_no_job_a_level(spark):
     assert {r.id: r.cluster - 1 for r in labels.collect()} == dict(enumerate(want.tolist()))
 
 
+# ---- counts of pairs
+
+
+@pytest.mark.parametrize("part", [7, 16_384])
+def test_pairs_are_counted_without_rows_for_them(spark, part):
+    from binmine.operators import metrics, sketch
+
+    rng = np.random.default_rng(21)
+    sig, ids = rng.integers(-1, 3, (300, 5)), rng.permutation(900)[:300] - 100
+    orig = [None if o == 6 else int(o) for o in rng.integers(0, 7, 300)]  # 1..4 are classes
+    sigs = spark.createDataFrame([(int(i), o, x) for i, o, x in zip(ids, orig, sig.tolist(), strict=True)], "id long, orig int, sig array<long>").repartition(3)
+    got = sketch.pair_counts(sigs, 5, 2, 4, 4, part)
+    tp = fp = 0
+    for i in range(300):
+        for j in range(300):
+            if ids[i] < ids[j] and orig[i] in (1, 2, 3, 4) and ((sig[i, :3] == sig[j, :3]).all() or (sig[i, 3:] == sig[j, 3:]).all()):
+                tp, fp = tp + (orig[i] == orig[j]), fp + (orig[i] != orig[j])
+    assert tuple(got.first()) == (tp, fp) and tp and fp
+    assert metrics.pair_scores(got, 300, 4).collect() == metrics.pair_metrics(sketch.signature_pairs(sigs, 5, 2), sigs, 300, 4).collect()
+    assert tuple(sketch.pair_counts(sigs.limit(0), 5, 2, 4, 4).first()) == (0, 0)
+
+
 # ---- neighbours
 
 
