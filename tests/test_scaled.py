@@ -516,6 +516,57 @@ def test_pairs_are_counted_without_rows_for_them(spark, part):
     assert tuple(sketch.pair_counts(sigs.limit(0), 5, 2, 4, 4).first()) == (0, 0)
 
 
+# ---- chunks in batches
+
+
+def test_chunks_reach_their_kernel_packed_and_in_order(spark):
+    from binmine.operators import itemset, merge
+
+    x = (np.random.default_rng(8).random((60, 11)) < 0.3).astype(np.int64)
+    x[[3, 50]] = 0
+    place = lambda c, row, n: itemset._clope_place(c, row, n, 2.0, 99)
+    kernel, seen = itemset._greedy(place, place, 3, 0), merge.firsts(np.array([1, 0, 1, 2]))
+    assert seen.tolist() == [1, 0, 3]
+    packed = kernel.on_packed(np.packbits(x[:30].astype(bool), axis=1), 11)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.id: r for r in merge.local_clusters(obs_of(spark, x).repartition(3), 2, kernel).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for chunk, part in ((1, range(30)), (2, range(30, 60))):
+        labels, reps = kernel(x[list(part)])
+        assert [got[i].local for i in part] == labels.tolist() and {got[i].chunk for i in part} == {chunk}
+        assert [got[part[k]].rep for k in merge.firsts(labels)] == reps.tolist()
+        assert sum(got[i].rep is not None for i in part) == len(reps)
+    assert (packed[0] == kernel(x[:30])[0]).all() and (packed[1] == kernel(x[:30])[1]).all()
+
+
+def test_scale_places_rows_by_kept_sums_in_a_fraction_of_the_time():
+    import time
+
+    import pandas as pd
+
+    from binmine.operators import itemset
+
+    rng = np.random.default_rng(9)
+    x, occ = (rng.random((4000, 25)) < 0.15).astype(np.int8), rng.integers(0, 5, (10, 25))
+    x[7], occ[4:6] = 0, 0
+    took = [time.process_time()]
+    got = itemset.scale_assign(pd.DataFrame({"v": list(x)}), occ, np.ones(10, int), 4010)
+    took.append(time.process_time())
+    now, want = occ.copy(), []
+    for row in x.astype(np.int64):
+        s, part = now.sum(1), np.zeros(10)
+        part[s > 0] = (now[s > 0] ** 2).sum(1) / s[s > 0]
+        new = np.divide(((now + row) ** 2).sum(1), s + row.sum(), out=np.zeros(10), where=s + row.sum() > 0)
+        k = int(((part.sum() - part + new) / 4010).argmax())
+        now[k] += row
+        want.append(k)
+    took.append(time.process_time())
+    assert got.tolist() == want and took[1] - took[0] < 0.75 * (took[2] - took[1])
+
+
 # ---- neighbours
 
 
