@@ -89,27 +89,47 @@ def _dealt(rows: DataFrame, part: int) -> DataFrame:
     return dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1", "k2", "c1", "c2")
 
 
-def _met(rows: DataFrame, part: int) -> DataFrame:
-    """rows (k1, k2: the bucket, id, more) twice, suffixed 1 and 2, for id1 < id2 in a bucket, each pair of a bucket once."""
-    dealt = _dealt(rows, part)
+def _met(rows: DataFrame, part: int, where: str = "true") -> DataFrame:
+    """id1 < id2 of one bucket of rows (k1, k2: the bucket, id, more), each pair of a bucket once, where a condition on more holds.
+
+    The condition names the columns with suffixes 1 and 2, in any order of the two. A row of part i stands on the left of
+    the cells (i, i), (i, i + 1)... and on the right of (0, i)... (i, i), so a cell compares nothing but its own pairs.
+    """
+    rows = rows.where("id is not null")
+    full = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", F.expr(f"cast((n + {part - 1}) div {part} as int)").alias("parts"))
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts").cast("long")).cast("int")
+    dealt, n = rows.join(full, ["k1", "k2"]).withColumn("own", own), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys, more = ["k1", "k2", "c1", "c2"], [c for c in rows.columns if c not in ("k1", "k2")]
-    a, b = (dealt.select(*keys, *(F.col(c).alias(f"{c}{n}") for c in [*more, "own"])) for n in (1, 2))
-    return a.join(b, keys).where("id1 < id2 and (own1 != own2 or c1 = c2)")
+    left = dealt.withColumn("c1", F.col("own")).withColumn("c2", F.explode(F.sequence("own", F.col("parts") - 1)))
+    right = dealt.withColumn("c2", F.col("own")).withColumn("c1", F.explode(F.sequence(F.lit(0), "own")))
+    # cells are small but their pairs are many: dealt to all tasks by number of rows rather than bytes
+    a, b = (side.select(*keys, *(F.col(c).alias(f"{c}{i}") for c in more)).repartition(n, *keys) for i, side in ((1, left), (2, right)))
+    met = a.join(b.hint("merge"), keys).where(f"(c1 <> c2 or id1 < id2) and ({where})")
+    return met.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
 
 
-def signature_pairs(sigs: DataFrame, n_hash: int, bands: int, part: int = PART) -> DataFrame:
+def _codes(n_hash: int, bands: int, p: int) -> list[Column]:
+    """For each band of sig, hashes of p items, one number that no other values have."""
+    sizes, base = band_sizes(n_hash, bands), p + 3
+    if base ** max(sizes) >= 1 << 63:
+        raise ValueError("a band's values do not fit one number")
+    ends = [sum(sizes[: b + 1]) for b in range(bands)]
+    return [sum((F.col("sig")[i] + 1) * F.lit(base ** (i - e + n)) for i in range(e - n, e)).cast("int" if base**n < 1 << 31 else "long") for e, n in zip(ends, sizes, strict=True)]
+
+
+def signature_pairs(sigs: DataFrame, n_hash: int, bands: int, part: int = PART, p: int | None = None) -> DataFrame:
     """id1 < id2 whose signatures (id, sig; an id once) agree in a whole band, each pair once.
 
-    A pair belongs to the first band in which it agrees, so pairs need no distinct.
+    A pair belongs to the first band in which it agrees, so pairs need no distinct. With p, for hashes of p items, a band
+    is compared as one number, else as an array.
     """
     sizes = band_sizes(n_hash, bands)
-    ends = [sum(sizes[: b + 1]) for b in range(bands)]
-    spans = [range(e - n, e) for e, n in zip(ends, sizes, strict=True)]
-    key = F.array(*(F.xxhash64(*(F.col("sig")[i] for i in span)) for span in spans))
-    rows = sigs.select("id", F.transform("sig", lambda x: x.cast("int")).alias("sig"), F.posexplode(key).alias("k1", "k2")).select("k1", "k2", "id", "sig")
-    agree = [" and ".join(f"sig1[{i}] = sig2[{i}]" for i in span) for span in spans]
-    first = "case k1 " + " ".join(f"when {b} then {' and '.join([f'({agree[b]})', *(f'not ({x})' for x in agree[:b])])}" for b in range(bands)) + " end"
-    return _met(rows, part).where(first).select("id1", "id2")
+    values = _codes(n_hash, bands, p) if p else [F.slice("sig", sum(sizes[:k]) + 1, n) for k, n in enumerate(sizes)]
+    names = [f"b{k}_" for k in range(bands)]
+    coded = sigs.select("id", *(c.alias(b) for b, c in zip(names, values, strict=True)))
+    # columns of their own, as a condition on array elements grows too long to be compiled
+    rows = coded.select(F.posexplode(F.array(*names)).alias("k1", "k2"), "id", *names[:-1])
+    return _met(rows, part, " and ".join(f"(k1 <= {k} or {b}1 <> {b}2)" for k, b in enumerate(names[:-1])) or "true")
 
 
 #: Ids of a bucket's part where pairs are counted and not returned, and rows of one part that meet the other at a time.
@@ -164,11 +184,7 @@ def pair_counts(sigs: DataFrame, n_hash: int, bands: int, p: int, classes: int,
     sigs: id (once), orig, sig with hashes of p items. No pair is made a row: the rows of a cell, sorted by id, meet in
     tiles, and a task gives the counts of its cells. A band's values are one number.
     """
-    sizes, base = band_sizes(n_hash, bands), p + 3
-    if base ** max(sizes) >= 1 << 63:
-        raise ValueError("a band's values do not fit one number")
-    ends = [sum(sizes[: b + 1]) for b in range(bands)]
-    codes = F.array(*(sum((F.col("sig")[i] + 1) * F.lit(base ** (i - e + n)) for i in range(e - n, e)).cast("int" if base**n < 1 << 31 else "long") for e, n in zip(ends, sizes, strict=True)))
+    codes = F.array(*_codes(n_hash, bands, p))
     rows = sigs.where("id is not null").select("id", F.coalesce(F.col("orig").cast("long"), F.lit(-1)).alias("orig"), codes.alias("codes")).select("*", F.posexplode("codes").alias("k1", "k2"))
     keys = ["k1", "k2", "c1", "c2"]
 
@@ -190,7 +206,7 @@ def pair_counts(sigs: DataFrame, n_hash: int, bands: int, p: int, classes: int,
 def candidate_pairs(found: DataFrame, part: int = PART) -> DataFrame:
     """Distinct id1 < id2 that share a bucket of found (band, h, id). The pairs of a bucket are what this operator is for."""
     rows = found.select(F.col("band").alias("k1"), F.col("h").alias("k2"), "id").distinct()
-    return _met(rows, part).select("id1", "id2").distinct()
+    return _met(rows, part).distinct()
 
 
 def eval_sample(found: DataFrame, n_rows: int, classes: int, n_sample: int, seed: int = 1) -> DataFrame:

@@ -141,7 +141,7 @@ def lsh_buckets(s, d):
 
 @query
 def lsh_candidate_pairs(s, d):
-    return sketch.signature_pairs(checkpointed(_doc_sigs(s, d)), 20, 5)
+    return sketch.signature_pairs(checkpointed(_doc_sigs(s, d)), 20, 5, p=sql.DOC_P)
 
 
 def _bit_buckets(s, d):
