@@ -72,38 +72,45 @@ def buckets(sigs: DataFrame, n_hash: int, bands: int) -> DataFrame:
 
 
 #: Ids of a bucket's part: larger buckets are split into parts that meet two by two.
-PART = 4096
+PART = 1024
 
 
-def _dealt(rows: DataFrame, part: int) -> DataFrame:
-    """rows (k1, k2: the bucket, id, more) with own, c1, c2: a row's part of its bucket, in each cell it belongs to.
+def _parts(rows: DataFrame, part: int) -> DataFrame:
+    """rows (k1, k2: the bucket, id, more) with parts, into how many its bucket is split, and own, the part of its id.
 
-    A bucket over part ids is split by a hash of the id; every two parts are a cell of their own, so no key holds more
-    than two parts however large its bucket. Buckets of one id meet nothing and go first.
+    Buckets over part ids are split by a hash of the id. Buckets of one id meet nothing and are left out.
     """
     full = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", F.expr(f"cast((n + {part - 1}) div {part} as int)").alias("parts"))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts").cast("long")).cast("int")
-    dealt = rows.join(full, ["k1", "k2"]).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("c1", F.least("own", "with")).withColumn("c2", F.greatest("own", "with"))
-    # cells are small but their pairs are many: dealt to all tasks once, for both sides, by number of rows rather than bytes
-    return dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1", "k2", "c1", "c2")
+    return rows.join(full, ["k1", "k2"]).withColumn("own", own)
+
+
+def _by_cell(dealt: DataFrame) -> DataFrame:
+    """Cells (k1, k2, c1, c2) are small but their pairs are many: dealt to all tasks by number of rows rather than bytes."""
+    return dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1", "k2", "c1", "c2")
+
+
+def _dealt(rows: DataFrame, part: int) -> DataFrame:
+    """rows (k1, k2: the bucket, id, more) with own, c1, c2: a row's part of its bucket, in each cell it belongs to.
+
+    Every two parts are a cell of their own, so no key holds more than two parts however large its bucket. Both sides of a
+    cell are dealt at once.
+    """
+    dealt = _parts(rows, part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return _by_cell(dealt.withColumn("c1", F.least("own", "with")).withColumn("c2", F.greatest("own", "with")))
 
 
 def _met(rows: DataFrame, part: int, where: str = "true") -> DataFrame:
-    """id1 < id2 of one bucket of rows (k1, k2: the bucket, id, more), each pair of a bucket once, where a condition on more holds.
+    """id1 < id2 of rows (k1, k2: the bucket, id, more) that share a bucket, each pair of a bucket once, where a condition holds.
 
-    The condition names the columns with suffixes 1 and 2, in any order of the two. A row of part i stands on the left of
-    the cells (i, i), (i, i + 1)... and on the right of (0, i)... (i, i), so a cell compares nothing but its own pairs.
+    The condition is symmetric and names the other columns with suffixes 1 and 2. Every two parts are a cell; a row of part
+    i stands on the left of (i, i), (i, i + 1)... and on the right of (0, i)... (i, i), so a cell compares its own pairs only.
     """
-    rows = rows.where("id is not null")
-    full = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", F.expr(f"cast((n + {part - 1}) div {part} as int)").alias("parts"))
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts").cast("long")).cast("int")
-    dealt, n = rows.join(full, ["k1", "k2"]).withColumn("own", own), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys, more = ["k1", "k2", "c1", "c2"], [c for c in rows.columns if c not in ("k1", "k2")]
-    left = dealt.withColumn("c1", F.col("own")).withColumn("c2", F.explode(F.sequence("own", F.col("parts") - 1)))
-    right = dealt.withColumn("c2", F.col("own")).withColumn("c1", F.explode(F.sequence(F.lit(0), "own")))
-    # cells are small but their pairs are many: dealt to all tasks by number of rows rather than bytes
-    a, b = (side.select(*keys, *(F.col(c).alias(f"{c}{i}") for c in more)).repartition(n, *keys) for i, side in ((1, left), (2, right)))
+    parts = _parts(rows.where("id is not null"), part)
+    left = parts.withColumn("c1", F.col("own")).withColumn("c2", F.explode(F.sequence("own", F.col("parts") - 1)))
+    right = parts.withColumn("c2", F.col("own")).withColumn("c1", F.explode(F.sequence(F.lit(0), "own")))
+    a, b = (_by_cell(side.select(*keys, *(F.col(c).alias(f"{c}{n}") for c in more))) for n, side in ((1, left), (2, right)))
     met = a.join(b.hint("merge"), keys).where(f"(c1 <> c2 or id1 < id2) and ({where})")
     return met.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
 
