@@ -567,6 +567,46 @@ def test_scale_places_rows_by_kept_sums_in_a_fraction_of_the_time():
     assert got.tolist() == want and took[1] - took[0] < 0.75 * (took[2] - took[1])
 
 
+def basket_rows(n, seed=5):
+    x = (np.random.default_rng(seed).random((n, 25)) < 0.15).astype(np.int64)
+    x[::97] = 0
+    return x
+
+
+def timed(kernel, x):
+    import time
+
+    took = time.process_time()
+    got = kernel(x)
+    return got, time.process_time() - took
+
+
+def same(got, want):
+    return (got[0] == want[0]).all() and got[1].shape == want[1].shape and (got[1] == want[1]).all()
+
+
+@pytest.mark.parametrize("minsup,w,variant", [(0.15, 1.0, "reference"), (0.3, 0.5, "paper"), (0.05, 3.0, "reference")])
+@pytest.mark.parametrize("few,many,ahead", [(8, 200, 8192), (40, 1, 64), (0, 1, 64)])
+def test_largeitem_by_masks_and_ahead_is_that_of_single_rows(monkeypatch, minsup, w, variant, few, many, ahead):
+    from binmine.operators import itemset
+
+    for name, value in (("FEW", few), ("MANY", many), ("AHEAD", ahead), ("WORTH", 4)):
+        monkeypatch.setattr(itemset, name, value)
+    for x in (basket_rows(500), np.hstack([basket_rows(250, 6)[:, :20], basket_rows(250, 7)[:, :13]])):
+        place = lambda c, row, n: itemset._largeitem_place(c, row, n, minsup, w, variant)
+        again = lambda c, row, n: itemset._largeitem_place(c, row, n, minsup, w, variant, new=False)
+        assert same(itemset._largeitem_kernel(w, minsup, 3, 0, variant)(x), itemset._greedy(place, again, 3, 0)(x))
+
+
+def test_largeitem_takes_a_fraction_of_the_time_of_single_rows():
+    from binmine.operators import itemset
+
+    place = lambda c, row, n: itemset._largeitem_place(c, row, n, 0.15, 1.0, "reference")
+    again = lambda c, row, n: itemset._largeitem_place(c, row, n, 0.15, 1.0, "reference", new=False)
+    (got, fast), (want, slow) = (timed(k, basket_rows(2500)) for k in (itemset._largeitem_kernel(1.0, 0.15, 2, 0, "reference"), itemset._greedy(place, again, 2, 0)))
+    assert same(got, want) and fast < 0.5 * slow
+
+
 # ---- neighbours
 
 
