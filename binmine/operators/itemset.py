@@ -428,6 +428,59 @@ AHEAD, WORTH = 8192, 48
 FEW = 8
 
 
+class _ClopeAhead:
+    """Places of many rows at once while no cluster gains or loses an item: each row's gains from sums that follow guessed labels."""
+
+    def __init__(self, r: float, most: int) -> None:
+        self.r, self.most = r, most
+
+    def start(self, c: _Clusters, x: np.ndarray, packed: np.ndarray, old: np.ndarray | None, again: bool) -> None:
+        self.live = np.flatnonzero((c.n > 0) & (c.s > 0))
+        self.c, self.x, self.old, p = c, x, old, x.shape[1]
+        self.words = _words(packed)
+        self.lack = ~_words(np.packbits(c.occ[self.live] > 0, axis=1))
+        self.size = np.bitwise_count(self.words).sum(0, dtype=np.int64)
+        self.power = np.arange(p + 1).astype(float) ** self.r
+        self.alone = np.array([float(_profit(np.int64(k), 1, np.int64(k), self.r)) for k in range(p + 1)])[self.size]
+        self.new = [np.bitwise_count(self.words[0] & k[0]) if len(k) == 1 else np.bitwise_count(self.words & k[:, None]).sum(0, dtype=np.int64) for k in self.lack.T]
+
+    def places(self, guess: np.ndarray | None, at: int) -> np.ndarray:
+        """Clusters of rows at.. (-1: one of its own), as if rows before them went as guessed (None: nowhere)."""
+        size, best, label = self.size[at:], None, np.zeros(len(self.size) - at, np.int64)
+        for k, new in zip(self.live.tolist(), self.new, strict=True):
+            rows, _, n = _followed(k, guess, self.old, at)
+            n, s, w, new = n + int(self.c.n[k]), int(self.c.s[k]), int(self.c.w[k]), new[at:]
+            if rows is not None:
+                joins, change = rows
+                s = s + change(self.size) - np.where(joins, size, 0)
+            gain = (s + size) * (n + 1) / self.power[w + new] - s * n / self.power[w]
+            if best is None:
+                best = gain
+                label[:] = k
+            else:
+                better = gain > best
+                np.copyto(best, gain, where=better)
+                label[better] = k
+        if len(self.live) < self.most:
+            label[self.alone[at:] > best] = -1
+        return label
+
+    def stop(self, label: np.ndarray) -> tuple[int, bool]:
+        """The first row after which items or clusters differ, and whether its own place is that of label."""
+        missed, own = np.zeros(len(label), bool), label < 0
+        for k, new in zip(self.live.tolist(), self.new, strict=True):
+            own |= (label == k) & (new[: len(label)] > 0)
+            if self.old is not None:
+                gone = self.old[: len(label)] == k
+                if (least := int(self.c.occ[k][self.c.occ[k] > 0].min())) <= (leaving := np.count_nonzero(gone)) and leaving:
+                    at = np.flatnonzero(gone | (label == k))
+                    g, j = gone[at, None] * self.x[at].astype(np.int64), (label[at] == k)[:, None] * self.x[at].astype(np.int64)
+                    left = self.c.occ[k] + (j - g).cumsum(0) - j  # what an item has when the row is out
+                    missed[at[((left <= 0) & (g > 0)).any(1)]] = True
+        first = [int(z.argmax()) if z.any() else len(label) for z in (missed, own)]
+        return min(first), first[1] < first[0]
+
+
 class _LargeItemAhead:
     """Places of many rows at once while clusters live: large and small items of each moment follow guessed labels."""
 
@@ -446,7 +499,7 @@ class _LargeItemAhead:
         return np.add.reduce(flags.view(np.uint8), axis=0, dtype=self.count).astype(np.int64)
 
     def places(self, guess: np.ndarray | None, at: int) -> np.ndarray:
-        """Clusters of rows at.. (-1: one of its own), as if rows before them went as guessed (None: nowhere); _large_costs for many rows, items first."""
+        """As _ClopeAhead.places; _large_costs for many rows, items first."""
         k, x = len(self.live), self.x[:, at:]
         if k == 1 and not self.new:
             return np.full(x.shape[1], self.live[0])
@@ -502,6 +555,13 @@ class _LargeItemAhead:
         return min(first), first[1] < first[0]
 
 
+def _words(packed: np.ndarray) -> np.ndarray:
+    """Packed rows as columns of 64-bit words."""
+    out = np.zeros((len(packed), -(-packed.shape[1] // 8) * 8), np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return np.ascontiguousarray(out.view(np.uint64).T)
+
+
 def _followed(k: int, guess: np.ndarray | None, old: np.ndarray | None, at: int):
     """How cluster k differs from the start when each of rows at.. is out: (whether the row joins it, sums of what came and went
     but for the row itself joining) or None if nothing does, None, and the difference of its rows."""
@@ -625,7 +685,7 @@ def _merge_features(place):
 def clope(obs: DataFrame, r: float = 2.0, chunks: int = 4, max_iteration: int = 5, max_moved: int = 0, most: int = 1000) -> DataFrame:
     """id, cluster: greedy profit in each chunk, then the chunks' features in order by the same rule."""
     place = lambda c, x, n: _clope_place(c, x, n, r, most)
-    return merge.merge_in_levels(merge.local_clusters(obs, chunks, _greedy(place, place, max_iteration, max_moved)), _merge_features(place))
+    return merge.merge_in_levels(merge.local_clusters(obs, chunks, _greedy(place, place, max_iteration, max_moved, _ClopeAhead(r, most))), _merge_features(place))
 
 
 def largeitem(obs: DataFrame, w: float = 1.0, minsupport: float = 0.5, chunks: int = 4, max_iteration: int = 5, max_moved: int = 0, variant: str = "reference") -> DataFrame:

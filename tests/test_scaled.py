@@ -607,6 +607,26 @@ def test_largeitem_takes_a_fraction_of_the_time_of_single_rows():
     assert same(got, want) and fast < 0.5 * slow
 
 
+@pytest.mark.parametrize("r,most,ahead", [(2.0, 1000, 8192), (2.6, 5, 64), (1.3, 1000, 256)])
+def test_clope_ahead_is_that_of_single_rows(monkeypatch, r, most, ahead):
+    from binmine.operators import itemset
+
+    monkeypatch.setattr(itemset, "AHEAD", ahead)
+    monkeypatch.setattr(itemset, "WORTH", 4)
+    place = lambda c, row, n: itemset._clope_place(c, row, n, r, most)
+    for x in (basket_rows(1500), np.hstack([basket_rows(500, k) for k in (6, 7, 8)])):
+        assert same(itemset._greedy(place, place, 3, 0, itemset._ClopeAhead(r, most))(x), itemset._greedy(place, place, 3, 0)(x))
+
+
+def test_clope_takes_a_fraction_of_the_time_of_single_rows():
+    from binmine.operators import itemset
+
+    place = lambda c, row, n: itemset._clope_place(c, row, n, 2.0, 1000)
+    x = np.tile(basket_rows(4000), (8, 1))
+    (got, fast), (want, slow) = (timed(k, x) for k in (itemset._greedy(place, place, 0, 0, itemset._ClopeAhead(2.0, 1000)), itemset._greedy(place, place, 0, 0)))
+    assert same(got, want) and fast < 0.5 * slow
+
+
 # ---- neighbours
 
 
